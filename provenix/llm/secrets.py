@@ -208,9 +208,9 @@ def redacted(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_
 ORACLE = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS i FROM documents),
 m AS (
-  SELECT i, 'assign' AS kind, 0 AS no, regexp_extract_all(text, '(?is)(.*?)((?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+))', 1) AS g,
-         regexp_extract_all(text, '(?is)(.*?)((?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+))', 2) AS w,
-         list_transform(regexp_extract_all(text, '(?is)(.*?)((?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+))', 3), lambda x: length(x) >= 6) AS ok FROM d
+  SELECT i, 'assign' AS kind, 0 AS no, regexp_extract_all(text, '(?s)(.*?)(ASSIGN)', 1) AS g,
+         regexp_extract_all(text, '(?s)(.*?)(ASSIGN)', 2) AS w,
+         list_transform(regexp_extract_all(text, '(?s)(.*?)(ASSIGN)', 4), lambda x: length(x) >= 6) AS ok FROM d
   UNION ALL
   SELECT i, 'access', 1, regexp_extract_all(text, '(?s)(.*?)(AKIA[A-Z0-9]+)', 1), regexp_extract_all(text, '(?s)(.*?)(AKIA[A-Z0-9]+)', 2),
          list_transform(regexp_extract_all(text, '(?s)(.*?)(AKIA[A-Z0-9]+)', 2), lambda x: length(x) >= 20) FROM d
@@ -225,4 +225,4 @@ s AS (SELECT i, count(*) FILTER (WHERE no = 0) AS n_assign, count(*) FILTER (WHE
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN s USING (i)
-"""
+""".replace("ASSIGN", RULES[0].pattern.replace("'", "''"))
