@@ -15,6 +15,11 @@ from tokenizers import Tokenizer
 AGREED = "\\u0000-\\u052F\\u1E00-\\u208E\\u2100-\\u218B\\u2190-\\u23FF\\u2500-\\u27BF\\u3000-\\u303F\\u3041-\\u3096\\u30A0-\\u30FF\\u4E00-\\u9FEF\\uAC00-\\uD7A3\\uFF01-\\uFF5E\\U0001F300-\\U0001F64F"
 _FOREIGN = re.compile(f"[^{AGREED}]")
 
+#: Letters, digits and white space of the Latin blocks; texts of these and ASCII punctuation alone are cut by `re`, which is faster.
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", "\\t-\\r \xa0"
+_ODD = re.compile("[^\\t-\\r -~\xa0-ɏ]")
+_LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+
 
 def byte_chars() -> dict[int, str]:
     """The byte-level alphabet: printable bytes are themselves, the rest follow from 256 on in order."""
@@ -39,7 +44,9 @@ class Cutter:
 
     def pieces(self, text: str) -> list[str]:
         """Pre-tokens of a text without special strings."""
-        if text.isascii() or not _FOREIGN.search(text):
+        if not _ODD.search(text):
+            return _LATIN.findall(text)
+        if not _FOREIGN.search(text):
             return self._find(text)
         return [bytes(self._bytes[c] for c in w).decode() for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 

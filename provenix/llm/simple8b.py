@@ -14,8 +14,14 @@ ESCAPE_FROM = 1 << 60
 _COUNT = np.array([0, *(n for n, _ in LAYOUTS)], np.int64)
 
 
+#: Bits of the values below 2**16, by a rule: one more at each power of two.
+_BITS16 = np.repeat(np.arange(17, dtype=np.uint8), np.diff([0, *(1 << np.arange(17))]))
+
+
 def _widths(values: np.ndarray) -> np.ndarray:
     """Bits that each value needs."""
+    if not (values >> np.uint64(16)).any():
+        return _BITS16[values]
     out = np.zeros(len(values), np.uint8)
     for shift in (32, 16, 8, 4, 2, 1):
         high = values >> np.uint64(shift)
@@ -26,17 +32,22 @@ def _widths(values: np.ndarray) -> np.ndarray:
 
 
 def _pack(values: np.ndarray) -> np.ndarray:
-    """Words of values that all are below ESCAPE_FROM."""
-    total, width = len(values), _widths(values)
+    """Words of values that all are below ESCAPE_FROM: each word holds as many values from its place on as any selector can."""
+    total = len(values)
     take = np.ones(total, np.uint8)  # selector 15 always fits
     chosen = np.full(total, 15, np.uint8)
-    for selector in range(14, 0, -1):  # later ones hold more values, and win
+    widest, held = _widths(values), 1  # the most bits in the next ``held`` values
+    for selector in range(14, 0, -1):
         n, bits = LAYOUTS[selector - 1]
-        wide = width > bits
-        if total < n or total - np.count_nonzero(wide) < n:
-            continue
-        seen = np.concatenate(([0], np.cumsum(wide, dtype=np.int32)))
-        fits = np.flatnonzero(seen[n:] == seen[:-n])
+        if total < n:
+            break
+        while held < n:  # windows overlap, as a maximum may count a value twice
+            step = min(held, n - held)
+            widest = np.maximum(widest[:-step], widest[step:])
+            held += step
+        fits = np.flatnonzero(widest <= bits)
+        if not len(fits):  # nor will any longer run of fewer bits
+            break
         take[fits], chosen[fits] = n, selector
     starts, at, steps = [], 0, take.tolist()
     while at < total:

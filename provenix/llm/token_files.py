@@ -13,6 +13,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,11 +25,13 @@ from pyspark.sql import functions as F
 
 from provenix.llm import simple8b
 from provenix.llm.common import filesystem, tune
-from provenix.llm.pieces import cutter
+from provenix.llm.pieces import _ODD, cutter
 
 MAGIC = b"PVXTOK01"
-#: Ids of a block; documents encoded at a time; pieces that a worker remembers, and the longest.
-BLOCK, CHUNK, KEPT, LONGEST = 65_536, 64, 300_000, 64
+#: Ids of a block; documents encoded at a time.
+BLOCK, CHUNK = 65_536, 256
+#: Pre-tokens that a worker remembers, and the longest; new ones that reach the library in one string.
+KEPT, LONGEST, GROUP = 1_000_000, 64, 256
 
 
 class Writer:
@@ -95,28 +98,71 @@ def read_file(uri: str) -> Iterator[tuple[int | None, np.ndarray]]:
             held, n_held = [every[n:]], len(every) - n
 
 
+def _places(found: list) -> list[int]:
+    """Where a list has None."""
+    out, at = [], -1
+    try:
+        while True:
+            at = found.index(None, at + 1)
+            out.append(at)
+    except ValueError:
+        return out
+
+
+class LibraryEncoder:
+    """Ids of texts as the tokenizers library gives them; it encodes a distinct pre-token once while that is remembered, as packed ids.
+
+    New pre-tokens of a space and letters reach the library many in one string, which it cuts apart
+    again at the spaces; the lengths of the tokens say which ids belong to which.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.cut = cutter(path)
+        self.known: dict[str, bytes] = {}
+        vocab = self.cut.spec["model"]["vocab"]
+        self.lengths = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of each token: a character each in the byte-level alphabet
+        for s, i in vocab.items():
+            self.lengths[i] = len(s)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut, get = self.cut, self.known.get
+        parts = [cut.segments(x) for x in texts]
+        pieces = [[w for s, x in ps for w in ([x] if s else cut.pieces(x))] if len(ps) != 1 or ps[0][0] else cut.pieces(ps[0][1]) for ps in parts]
+        found = [list(map(get, ws)) for ws in pieces]
+        holes = [_places(ks) for ks in found]
+        new = {ws[i] for ws, at in zip(pieces, holes, strict=True) for i in at}.difference(cut.specials)
+        fresh = self._encode_new(list(new)) | {s: i.to_bytes(4, "little") for s, i in cut.specials.items()}
+        for ws, ks, at in zip(pieces, found, holes, strict=True):
+            for i in at:
+                ks[i] = fresh[ws[i]]
+        if len(self.known) + len(fresh) > KEPT:
+            self.known.clear()
+        self.known.update((w, k) for w, k in fresh.items() if len(w) <= LONGEST)
+        return list(map(b"".join, found))
+
+    def _encode_new(self, new: list[str]) -> dict[str, bytes]:
+        joinable = [w for w in new if w[0] == " " and w[1:].isalpha() and not _ODD.search(w)]
+        single = list(set(new).difference(joinable))
+        out = {w: array("I", e.ids).tobytes() for w, e in zip(single, self.cut.tokenizer.encode_batch_fast(single, add_special_tokens=False), strict=True)}
+        groups = [joinable[i : i + GROUP] for i in range(0, len(joinable), GROUP)]
+        for words, e in zip(groups, self.cut.tokenizer.encode_batch_fast(list(map("".join, groups)), add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            at = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(w.encode()) for w in words])) + 1
+            packed, ends = ids.tobytes(), (4 * at).tolist()
+            out.update((w, packed[lo:hi]) for w, lo, hi in zip(words, [0, *ends], ends, strict=False))
+        return out
+
+
 @lru_cache(maxsize=2)
-def _worker(path: str) -> tuple:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return cutter(path), {}
+def _encoder(path: str) -> LibraryEncoder:
+    return LibraryEncoder(path)
 
 
 def _encoded(texts: list[str], tokenizer: str, end_id: int) -> Iterator[np.ndarray]:
-    """Ids of each text as the library gives them, each distinct pre-token encoded once."""
-    cut, memo = _worker(tokenizer)
-    parts = [[(s, x if s else cut.pieces(x)) for s, x in cut.segments(text)] for text in texts]
-    distinct = {w for ps in parts for s, ws in ps if not s for w in ws}
-    new = [w for w in distinct if w not in memo]
-    if len(memo) + len(new) > KEPT:
-        memo.clear()
-        new = list(distinct)
-    memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, cut.tokenizer.encode_batch(new, add_special_tokens=False), strict=True))
-    for ps in parts:
-        packed = [cut.specials[ws].to_bytes(4, "little") if s else b"".join(map(memo.__getitem__, ws)) for s, ws in ps]
-        yield np.frombuffer(b"".join(packed) + end_id.to_bytes(4, "little"), "<u4")
-    for w in new:
-        if len(w) > LONGEST:
-            del memo[w]
+    end = end_id.to_bytes(4, "little")
+    for packed in _encoder(tokenizer).encode(texts):
+        yield np.frombuffer(packed + end, "<u4")
 
 
 def write_token_files(df: DataFrame, uri: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int, int]]:
