@@ -28,6 +28,8 @@ from provenix.llm.common import tune, written
 BOOKS, WORDS, BEAM, SAMPLE = 16, 256, 8, 16_384
 #: Candidates scored exactly for each neighbour wanted; queries in a block; vectors in a chunk.
 RERANK, QUERIES, VECTORS = 10, 512, 16_384
+#: Chunks that one task meets with a block of queries, and from which it returns the block's best.
+SPAN = 64
 #: Packed query blocks go to every executor up to this size; beyond, they are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -111,10 +113,10 @@ def build(vectors: DataFrame, books: Codebooks) -> DataFrame:
     return vectors.mapInArrow(run, "vec_id long, codes binary, scale float")
 
 
-def _pack_chunks(table: pa.Table) -> pa.Table:
+def _pack_chunks(key: tuple, table: pa.Table) -> pa.Table:
     table = table.sort_by("vec_id")
     ids, scales = (table.column(c).to_numpy() for c in ("vec_id", "scale"))
-    return pa.table({"ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()), "codes": pa.array([b"".join(table.column("codes").to_pylist())], pa.binary()), "scales": pa.array([scales.astype("<f4").tobytes()], pa.binary())})
+    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()), "codes": pa.array([b"".join(table.column("codes").to_pylist())], pa.binary()), "scales": pa.array([scales.astype("<f4").tobytes()], pa.binary())})
 
 
 def _pack_queries(table: pa.Table) -> pa.Table:
@@ -133,30 +135,39 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def _score(books: Codebooks, keep: int):
+    """The best candidates of each query over all chunks that a group of rows (block, span) brings, one chunk in memory at a time."""
     dims = books.words.shape[2]
     flat = books.words.reshape(-1, dims).astype(np.float32)
 
+    def made(now: dict) -> pa.RecordBatch:
+        n = [len(v) for v, _ in now["best"]]
+        columns = [np.repeat(now["q_ids"], n), *(np.concatenate(x) for x in zip(*now["best"], strict=True))]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "approximate"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: dict = {}
         for batch in batches:
             for row in batch.to_pylist():
-                ids, q_ids = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["q_ids"], "<i8")
-                q = np.frombuffer(row["q_vectors"], "<f8").reshape(len(q_ids), dims).astype(np.float32)
-                scales = np.frombuffer(row["scales"], "<f4")
+                if now.get("key") != (row["block"], row["span"]):
+                    if now:
+                        yield made(now)
+                    q_ids = np.frombuffer(row["q_ids"], "<i8")
+                    q = np.frombuffer(row["q_vectors"], "<f8").reshape(len(q_ids), dims).astype(np.float32)
+                    now = {"key": (row["block"], row["span"]), "q_ids": q_ids, "tables": q @ flat.T, "best": [(np.zeros(0, np.int64), np.zeros(0, np.float32))] * len(q_ids)}
+                ids, scales = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["scales"], "<f4")
                 places = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1).T.astype(np.int32) + np.arange(len(books.words), dtype=np.int32)[:, None] * books.words.shape[1]
-                tables = q @ flat.T
-                out_q, out_v, out_s = [], [], []
-                for i, table in enumerate(tables):
+                for i, (query, table) in enumerate(zip(now["q_ids"], now["tables"], strict=True)):
                     scores = table[places[0]]
                     for at in places[1:]:
                         scores += table[at]
                     scores = scores * scales
-                    scores[ids == q_ids[i]] = -np.inf
-                    top = best(scores, ids, keep)
-                    top = top[np.isfinite(scores[top])]
-                    out_q.append(np.full(len(top), q_ids[i]))
-                    out_v.append(ids[top])
-                    out_s.append(scores[top])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_v, out_s)], names=["query_id", "vec_id", "approximate"])
+                    top = best(np.where(ids == query, -np.inf, scores), ids, keep)
+                    top = top[ids[top] != query]
+                    v, s = np.concatenate((now["best"][i][0], ids[top])), np.concatenate((now["best"][i][1], scores[top]))
+                    top = best(s, v, keep)
+                    now["best"][i] = v[top], s[top]
+        if now:
+            yield made(now)
 
     return run
 
@@ -189,14 +200,15 @@ def search(df: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id",
     books = train(_matrix(sample.column(0)))
     chunks = max(1, math.ceil(n / VECTORS))
     coded = build(vectors, books).withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int"))
-    coded = written(coded.groupBy("chunk").applyInArrow(_pack_chunks, "ids binary, codes binary, scales binary"), "ann-index")
+    coded = written(coded.groupBy("chunk").applyInArrow(_pack_chunks, "chunk int, ids binary, codes binary, scales binary"), "ann-index")
     asked = vectors.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))  # of a repeated id one vector asks
     blocks = max(1, math.ceil(n / every / QUERIES))
     blocks_of = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     packed = blocks_of.groupBy("block").applyInArrow(_pack_queries_with_block, "block int, q_ids binary, q_vectors binary")
     # every chunk of codes meets every block of queries: the stated query set against all rows, in blocks
-    met = coded.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition("block", "ids").join(F.broadcast(packed) if blocks * QUERIES * books.words.shape[2] * 8 <= BROADCAST_BYTES else packed, "block")
-    found = met.select("ids", "codes", "scales", "q_ids", "q_vectors").mapInArrow(_score(books, RERANK * k), "query_id long, vec_id long, approximate float")
+    met = coded.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.floor(F.col("chunk") / SPAN).cast("int").alias("span"))
+    met = met.join(F.broadcast(packed) if blocks * QUERIES * books.words.shape[2] * 8 <= BROADCAST_BYTES else packed, "block").repartition("block", "span").sortWithinPartitions("block", "span")
+    found = met.select("block", "span", "ids", "codes", "scales", "q_ids", "q_vectors").mapInArrow(_score(books, RERANK * k), "query_id long, vec_id long, approximate float")
     first = Window.partitionBy("query_id").orderBy(F.desc("approximate"), "vec_id")
     found = found.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= RERANK * k).drop("_r", "approximate").distinct()
     queries = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q"))
