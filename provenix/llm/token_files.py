@@ -31,7 +31,7 @@ MAGIC = b"PVXTOK01"
 #: Ids of a block; documents encoded at a time.
 BLOCK, CHUNK = 65_536, 256
 #: Pre-tokens that a worker remembers, and the longest; new ones that reach the library in one string.
-KEPT, LONGEST, GROUP = 1_000_000, 64, 256
+KEPT, LONGEST, GROUP = 1_200_000, 64, 256
 
 
 class Writer:
@@ -138,7 +138,9 @@ class LibraryEncoder:
                 ks[i] = fresh[ws[i]]
         if len(self.known) + len(fresh) > KEPT:
             self.known.clear()
-        self.known.update((w, k) for w, k in fresh.items() if len(w) <= LONGEST)
+        self.known.update(fresh)
+        for w in [w for w in fresh if len(w) > LONGEST]:
+            del self.known[w]
         return list(map(b"".join, found))
 
     def _encode_new(self, new: list[str]) -> dict[str, bytes]:
@@ -150,7 +152,7 @@ class LibraryEncoder:
             ids = np.array(e.ids, "<u4")
             at = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(w.encode()) for w in words])) + 1
             packed, ends = ids.tobytes(), (4 * at).tolist()
-            out.update((w, packed[lo:hi]) for w, lo, hi in zip(words, [0, *ends], ends, strict=False))
+            out.update(zip(words, [packed[lo:hi] for lo, hi in zip([0, *ends], ends, strict=False)], strict=True))
         return out
 
 
