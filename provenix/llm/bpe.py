@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenix.llm.common import tune
-from provenix.llm.pieces import Memo, byte_chars, cutter
+from provenix.llm.pieces import Memo, byte_chars, claim, cutter
 
 #: Bounds of what a worker remembers.
-PIECES, PAIRS = 400_000, 1_000_000
+PIECES, PAIRS = 300_000, 300_000
 
 
 class PrefixCoder:
@@ -114,6 +114,7 @@ def encode_documents(df: DataFrame, tokenizer: str, text_col: str = "text", ids_
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in kept), f"`{ids_col}` binary", *([f"`{decoded_col}` string"] if decoded_col else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe", coder.cache_clear)
         code = coder(tokenizer)
         for batch in batches:
             ids = [code.encode(x or "") for x in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
@@ -130,6 +131,7 @@ def encoding_digest(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     tune(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe", coder.cache_clear)
         code = coder(tokenizer)
         for batch in batches:
             n, ids_sha, text_sha = [], [], []

@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenix.llm.common import tune, written
-from provenix.llm.pieces import Memo
+from provenix.llm.pieces import Memo, claim
 
 COORDINATES, LEAST_MATCHES, SHINGLE = 64, 38, 5
 #: Words whose hashes a worker remembers; shingles hashed at a time; rows of an Arrow batch that holds sets.
-KEPT, CHUNK, ROWS = 500_000, 2048, 512
+KEPT, CHUNK, ROWS = 300_000, 2048, 512
 #: A list of more documents is merged by blocks; documents in a block; columns of shingles counted at a time.
 SHORT, BLOCK, COLUMNS = 32, 512, 4096
 #: Ids of documents whose sets are needed go to every executor up to so many (8 bytes each); beyond, documents are joined by shuffle.
@@ -85,6 +85,7 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """doc_id, n (set size), set_hash and sig (both binary, null without words) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("near-dedup", _words.cache_clear)
         for batch in batches:
             n, hashes, sigs = [], [], []
             for text in batch.column(1).to_pylist():
@@ -101,6 +102,7 @@ def sets(df: DataFrame, needed: DataFrame, id_col: str = "doc_id", text_col: str
     """(id, n, items): the full set of each needed class (id, doc_id, set_hash), from the texts again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("near-dedup", _words.cache_clear)
         for batch in batches:
             items = [shingles(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([_set_hash(x) for x in items], pa.binary()), pa.array([x.tobytes() for x in items], pa.binary())], names=["h", "items"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from functools import lru_cache
@@ -57,6 +58,18 @@ class Cutter:
         return [(x in self.specials, x) for x in self._split.split(text) if x]
 
 
+_held: list = []
+
+
+def claim(owner: str, *forget) -> None:
+    """What a worker remembers for one operator is forgotten once another one runs in it: ``forget`` are calls that drop it."""
+    if not _held or _held[0] != owner:
+        for drop in _held[1:]:
+            drop()
+        _held[:] = [owner, *forget]
+        gc.collect()
+
+
 class Memo(dict):
     """A bounded memory of pieces; ``make`` gives what is missing. Long pieces are not kept."""
 

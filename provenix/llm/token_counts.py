@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenix.llm.common import tune
-from provenix.llm.pieces import byte_chars, cutter
+from provenix.llm.pieces import byte_chars, claim, cutter
 
 #: Pre-tokens that a worker remembers beside the vocabulary; documents handled at a time; longest string remembered.
 KEPT, CHUNK, LONGEST = 400_000, 64, 64
@@ -56,6 +56,7 @@ def token_counts(df: DataFrame, tokenizer: str, limit: int = 512, id_col: str =
     proved = df.sparkSession.sparkContext.broadcast(whole_tokens(tokenizer))  # bounded by the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("token-counts", _worker.cache_clear)
         cut, rest = _worker(tokenizer)
         whole = proved.value
         for batch in batches:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from provenix.llm import simple8b
 from provenix.llm.common import filesystem, tune
-from provenix.llm.pieces import _ODD, cutter
+from provenix.llm.pieces import _ODD, claim, cutter
 
 MAGIC = b"PVXTOK01"
 #: Ids of a block; documents encoded at a time.
@@ -177,6 +177,7 @@ def write_token_files(df: DataFrame, uri: str, tokenizer: str, end_id: int = 2,
     tune(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("token-files", _encoder.cache_clear)
         part = TaskContext.get().partitionId()
         name, n, out = f"part-{part:06d}.tok", 0, None
         for batch in batches:
