@@ -12,15 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenix.llm import bpe, mixing, near_dedup, quality, secrets
-from provenix.llm.common import table, work_dir, written
+from provenix.llm.common import table, work_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and their language's certified cutoffs. Texts are measured once, in a written table."""
-    rows = written(quality.measured(docs.select(*COLUMNS)), "pipeline-measured")
-    return quality.judged(rows, table(spark, sf_dir, "labels")).where("kept").select(*COLUMNS)
+    """Documents that pass the base rules and their language's certified cutoffs."""
+    return quality.passing(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +36,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
-    rows = written(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "pipeline-mix")
-    taken = mixing.mix(rows, row_col="_row").where("copies > 0").select(F.col("_row").alias("_taken"), "copies")
-    return rows.join(taken, F.col("_row") == F.col("_taken")).withColumn("_copy", F.explode(F.expr("sequence(1, copies)"))).select(*COLUMNS)
+    return mixing.mixed(docs.select(*COLUMNS))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

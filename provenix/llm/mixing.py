@@ -10,6 +10,7 @@ the global order is found the same way, from ranges of the finish time.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ WEIGHTS, BUDGET, COPIES = (5, 2, 1), 1.5, 2
 GROUP, LATE = 4096, 64.0
 #: A source table of more rows isn't broadcast but joined by Spark's choice.
 BROADCAST_ROWS = 20_000
+#: Decisions about rows go to every executor up to so many (24 bytes each); beyond, they are joined by shuffle.
+BROADCAST_TAKEN = 1_000_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, copies: int = COPIES) -> DataFrame:
@@ -92,6 +95,22 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
     return timed.select(*extra, "doc_id", "source", "size", "source_size", "target", n.alias("copies"), (F.col("size") * n).alias("taken"))
 
 
+def mixed(df: DataFrame, **columns: str) -> DataFrame:
+    """Every row as many times as the mix takes it, with its columns.
+
+    Rows are known by their place in the files they are read from, or else in a written copy.
+    """
+    try:
+        rows = df.select("*", F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    except AnalysisException:  # not read from files directly
+        rows = written(df.withColumns({"_file": F.lit(0).cast("long"), "_place": F.monotonically_increasing_id()}), "mix-copy")
+    taken = mix(rows.withColumn("_row", F.struct("_file", "_place")), row_col="_row", **columns).where("copies > 0")
+    taken = written(taken.select(F.col("_row._file").alias("_f"), F.col("_row._place").alias("_p"), "copies"), "mix-taken")
+    taken = F.broadcast(taken) if taken.count() <= BROADCAST_TAKEN else taken
+    again = rows.join(taken, (F.col("_file") == F.col("_f")) & (F.col("_place") == F.col("_p"))).withColumn("_copy", F.explode(F.expr("sequence(1, copies)")))
+    return again.select(*(F.col(f"`{c}`") for c in df.columns))
+
+
 ORACLE = """
 WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t-\\r]+'), lambda x: x <> ''))::BIGINT AS size,
                   md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS key FROM documents),

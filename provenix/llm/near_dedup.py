@@ -33,7 +33,7 @@ from provenix.llm.pieces import Memo, claim
 
 COORDINATES, LEAST_MATCHES, SHINGLE = 64, 38, 5
 #: Words whose hashes a worker remembers; shingles hashed at a time; rows of an Arrow batch that holds sets.
-KEPT, CHUNK, ROWS = 300_000, 2048, 512
+KEPT, CHUNK, ROWS = 200_000, 2048, 256
 #: A list of more documents is merged by blocks; documents in a block; columns of shingles counted at a time.
 SHORT, BLOCK, COLUMNS = 32, 512, 4096
 #: Ids of documents whose sets are needed go to every executor up to so many (8 bytes each); beyond, documents are joined by shuffle.

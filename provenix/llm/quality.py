@@ -30,6 +30,8 @@ CUTOFFS = {
     "mean_word": (20.0, 16.0, 14.0, 12.0, 11.0, 10.0, 9.0, 8.0, 7.0),
 }
 LEAST_WORDS, REPEAT_PERCENT = 50, 50
+#: Labels go to every executor up to so many (16 bytes each); beyond, they are joined by shuffle.
+BROADCAST_LABELS = 1_000_000
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
@@ -103,12 +105,18 @@ def thresholds(labelled: DataFrame, risk: float = RISK, delta: float = DELTA, po
     return used.groupBy("_stratum").agg(*(F.max(F.when(F.col("signal") == s, F.col("cutoff"))).alias(f"_cut_{s}") for s in CUTOFFS))
 
 
-def judged(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum_col: str = "lang", **limits: float) -> DataFrame:
+def usable_labels(labels: DataFrame) -> DataFrame:
+    """_label_id and quality, a row an id."""
+    return labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_label_id")).agg(F.min("quality").alias("quality"))
+
+
+def cutoffs(holdout: DataFrame, stratum_col: str = "lang", **limits: float) -> DataFrame:
+    """The thresholds of measured rows with their quality, as a written table: a row a stratum."""
+    return written(thresholds(holdout, stratum_col=stratum_col, **limits), "quality-cutoffs").withColumnRenamed("_stratum", "_cut_stratum")
+
+
+def judged(rows: DataFrame, cuts: DataFrame, stratum_col: str = "lang") -> DataFrame:
     """Measured rows with ``kept``: neither failed by the base rules nor above a cutoff of their stratum."""
-    given = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_label_id")).agg(F.min("quality").alias("quality"))
-    columns = [c for c in (id_col, stratum_col, "base_failed", *MEASURES)]
-    holdout = rows.select(*columns).join(given, F.col(id_col) == F.col("_label_id"))
-    cuts = written(thresholds(holdout, stratum_col=stratum_col, **limits), "quality-cutoffs").withColumnRenamed("_stratum", "_cut_stratum")
     out = rows.join(cuts, F.col(stratum_col).eqNullSafe(F.col("_cut_stratum")), "left")
     rejected = F.lit(False)
     for name, value in signals().items():
@@ -116,6 +124,15 @@ def judged(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum_c
     return out.withColumn("kept", ~F.col("base_failed") & ~rejected).drop("_cut_stratum", *(f"_cut_{s}" for s in CUTOFFS))
 
 
+def passing(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum_col: str = "lang", text_col: str = "text", **limits: float) -> DataFrame:
+    """The rows that are kept, with their columns. Only labelled texts are measured for the cutoffs; ids of labels go to every executor if they are few."""
+    given = usable_labels(labels)
+    known = F.broadcast(given) if given.count() <= BROADCAST_LABELS else given
+    holdout = measured(df.join(known, F.col(id_col) == F.col("_label_id")), text_col)
+    cuts = cutoffs(holdout, stratum_col, **limits)
+    return judged(measured(df, text_col), cuts, stratum_col).where("kept").select(*(F.col(f"`{c}`") for c in df.columns))
+
+
 def digest(df: DataFrame, labels: DataFrame, **limits: float) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept of every row.
 
@@ -124,5 +141,7 @@ def digest(df: DataFrame, labels: DataFrame, **limits: float) -> DataFrame:
     rows are judged alike. Without labels there are no cutoffs.
     """
     rows = measured(df.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")).drop("text")
-    rows = judged(written(rows, "quality-measures"), labels, **limits)
+    rows = written(rows, "quality-measures")
+    cuts = cutoffs(rows.join(usable_labels(labels), F.col("doc_id") == F.col("_label_id")), **limits)
+    rows = judged(rows, cuts)
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -16,10 +16,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenix.llm.common import let
+from provenix.llm.common import let, written
 
 #: A set of alternatives is followed exactly up to so many strings.
 EXACT = 64
+#: Candidates go to every executor up to so many (16 bytes each); beyond, they are joined by shuffle.
+BROADCAST_HITS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -165,6 +167,8 @@ def scan(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id",
         grams = sorted({t for q in asked.values() for c in q for t in c})
         index = postings(df, grams, id_col, text_col)
         hits = candidates(index, asked).select(F.col("doc_id").alias("_hit_id"), *(F.col(k).alias(n) for k, n in names.items()))
+        hits = written(hits, "secret-candidates")
+        hits = F.broadcast(hits) if hits.count() <= BROADCAST_HITS else hits  # else texts are shuffled by id
         out = df.join(hits, F.col(id_col).eqNullSafe(F.col("_hit_id")), "left")
     columns = {}
     for r in rules:
