@@ -2,20 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from provenix.plans import case_queries, evidence_queries, header_queries
+from provenix.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def find_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    groups = docs.groupBy(F.sha2("text", 256).alias("sha256")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("doc_id")).alias("ids")).where("n > 1")
-    return groups.select("sha256", "n", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("files"))
-
-
-QUERIES["find_duplicates"] = find_duplicates
-ORACLE_SQL["find_duplicates"] = "SELECT sha256(text) AS sha256, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS files FROM documents GROUP BY 1 HAVING count(*) > 1"
+__all__ = ["ORACLE_SQL", "QUERIES", "case_queries", "evidence_queries", "header_queries"]
