@@ -26,6 +26,15 @@ def number(c: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract(c, pattern, group).try_cast("int")
 
 
+def digits(c: Column, at: int, n: int) -> Column:
+    """The number at a fixed place of a text whose pattern is known to match."""
+    return F.substring(c, at, n).try_cast("int")
+
+
+#: Places (from 1) and lengths of year, month, day, hour, minute and second.
+EXIF_PLACES = ((1, 4), (6, 2), (9, 2), (12, 2), (15, 2), (18, 2))
+
+
 def plausible(year: Column, month: Column, day: Column, hour: Column | None = None, minute: Column | None = None, second: Column | None = None) -> Column:
     zero = F.lit(0)
     return (year >= 1) & month.between(1, 12) & day.between(1, 31) & ((hour if hour is not None else zero) <= 23) & ((minute if minute is not None else zero) <= 59) & ((second if second is not None else zero) <= 61)
@@ -68,7 +77,7 @@ def given(c: Column) -> Column:
 
 def normalize_exif(raw: Column, offset_raw: Column, label: str, source: str) -> Column:
     text = strip(raw)
-    parts = [number(text, EXIF, i) for i in range(1, 7)]
+    parts = [digits(text, *p) for p in EXIF_PLACES]
     good = text.rlike(EXIF) & plausible(*parts)
     wall, offset = iso_wall(*parts), parse_offset(offset_raw)
     garbage = given(offset_raw) & offset.isNull()
@@ -80,14 +89,14 @@ def normalize_exif(raw: Column, offset_raw: Column, label: str, source: str) ->
 
 def normalize_xmp(raw: Column, label: str, source: str) -> Column:
     text = strip(raw)
-    year, month, day, hour, minute = (number(text, XMP, i) for i in range(1, 6))
-    seconds = F.regexp_extract(text, XMP, 6)
-    second = F.coalesce(seconds.try_cast("int"), F.lit(0))
+    year, month, day, hour, minute = (digits(text, *p) for p in EXIF_PLACES[:5])
+    with_seconds = F.substring(text, 17, 1) == ":"
+    second = F.when(with_seconds, digits(text, 18, 2)).otherwise(0)
     zone = F.regexp_extract(text, XMP, 7)
-    by_day = F.regexp_extract(text, XMP, 4) == ""
+    by_day = F.length(text) == 10
     good = text.rlike(XMP) & plausible(year, month, day) & (by_day | plausible(year, month, day, hour, minute, second))
     offset = parse_offset(zone)
-    precision = F.when(by_day, "day").when(seconds != "", "second").otherwise("minute")
+    precision = F.when(by_day, "day").when(with_seconds, "second").otherwise("minute")
     wall = F.when(by_day, iso_day(year, month, day)).otherwise(iso_wall(year, month, day, hour, minute, second))
     naive = claim(label, source, text, None, wall, precision, "naive")
     zoned = claim(label, source, text, iso_utc(year, month, day, hour, minute, second, offset), wall, precision, "explicit")
@@ -97,9 +106,9 @@ def normalize_xmp(raw: Column, label: str, source: str) -> Column:
 def normalize_iptc(date_raw: Column, time_raw: Column, source: str) -> Column:
     both = F.concat_ws(" ", F.nullif(date_raw, F.lit("")), F.nullif(time_raw, F.lit("")))
     date, time = strip(date_raw), strip(time_raw)
-    year, month, day = (number(date, IPTC_DATE, i) for i in range(1, 4))
-    hour, minute, second = (number(time, IPTC_TIME, i) for i in range(1, 4))
-    zone = F.regexp_extract(time, IPTC_TIME, 4)
+    year, month, day = (digits(date, *p) for p in ((1, 4), (5, 2), (7, 2)))
+    hour, minute, second = (digits(time, at, 2) for at in (1, 3, 5))
+    zone = F.substring(time, 7, 5)
     offset = parse_offset(zone)
     bad = claim("capture", source, both, parseable=False)
     good_date = F.coalesce(date.rlike(IPTC_DATE) & plausible(year, month, day), F.lit(False))
@@ -117,13 +126,13 @@ def normalize_utc(iso: Column, raw: Column, label: str, source: str) -> Column:
 
 def exif_datetime(raw: Column) -> Column:
     """``YYYY:MM:DD HH:MM:SS`` as ISO text, range-checked; else null."""
-    parts = [number(strip(raw), EXIF, i) for i in range(1, 7)]
+    parts = [digits(strip(raw), *p) for p in EXIF_PLACES]
     return F.when(strip(raw).rlike(EXIF) & plausible(*parts), iso_wall(*parts))
 
 
 def gps_datetime(date_raw: Column, hour: Column, minute: Column, second: Column) -> Column:
     """A GPS date and its three time values (doubles) as UTC text; partial or out of range gives null. Seconds are cut."""
-    year, month, day = (number(strip(date_raw), GPS_DATE, i) for i in range(1, 4))
+    year, month, day = (digits(strip(date_raw), *p) for p in EXIF_PLACES[:3])
     good = strip(date_raw).rlike(GPS_DATE) & month.between(1, 12) & day.between(1, 31) & hour.between(0, 23) & minute.between(0, 59) & second.between(0, 61)
     return F.when(good, F.concat(iso_wall(year, month, day, hour.cast("int"), minute.cast("int"), second.cast("int")), F.lit("Z")))
 

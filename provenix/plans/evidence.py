@@ -29,6 +29,9 @@ def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record an event, as observed."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if e.rdd.getNumPartitions() < cores:  # a small file: what follows is all computation, so it is dealt out
+        e = e.repartition(cores, "event_id")
     k = F.regexp_extract("props", r'"k": *(\d+)', 1).cast("int")
     e = e.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"), k.alias("k"))
     u, k, name = F.col("user_id"), F.col("k"), F.concat(F.lpad(F.col("event_id").cast("string"), 8, "0"), F.lit(".img"))
