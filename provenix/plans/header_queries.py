@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenix.functions import geo, text
 from provenix.operators import batch
 from provenix.plans.registry import query, table
-from provenix.sources import magic
+from provenix.sources import images, magic, synthetic
 
 c = F.col
 
@@ -100,3 +101,22 @@ def near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     right = table(spark, sf_dir, "supplier").select(*(x.alias(n) for x, n in zip(place("s_suppkey"), ("s_lat", "s_lon"), strict=True)))
     right = right.withColumn("band", F.explode(F.sequence(F.floor(c("s_lat") / band) - 1, F.floor(c("s_lat") / band) + 1)))
     return left.join(right, "band").where(geo.haversine(c("lat"), c("lon"), c("s_lat"), c("s_lon")) <= 500).groupBy("c_custkey").agg(F.count("*").alias("n"))
+
+
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JPEG for each part, its metadata taken from the part."""
+
+    def build(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            files = [synthetic.jpeg(synthetic.tiff(
+                [(0x010F, 2, r["p_brand"]), (0x0110, 2, r["p_name"]), (0x0112, 3, r["p_size"] % 8 + 1)], [(0x9003, 2, "2026:09:14 18:42:07"), (0x8827, 3, r["p_size"] * 10)],
+                [(1, 2, "NS"[r["p_partkey"] % 2]), (2, 5, [(r["p_partkey"] % 90, 1), (30, 1), (0, 1)]), (3, 2, "E"), (4, 5, [(r["p_size"], 1), (15, 1), (0, 1)])], "<>"[r["p_partkey"] % 2]), r["p_size"] + 100) for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([str(r["p_partkey"]) for r in rows]), pa.array(files, pa.binary())], names=["path", "content"])
+
+    return table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name", "p_size").mapInArrow(build, "path string, content binary")
+
+
+query("exif_extract", """SELECT p_partkey::VARCHAR AS path, 'ok' AS status, 'JPEG' AS format, (p_size + 100)::BIGINT AS width, 48::BIGINT AS height, p_brand AS make, p_name AS model, (p_size % 8 + 1)::BIGINT AS orientation, (p_size * 10)::BIGINT AS iso,
+  '2026:09:14 18:42:07' AS datetime_original, CASE WHEN p_partkey % 2 = 1 THEN -1 ELSE 1 END * (p_partkey % 90 + 0.5::DOUBLE) AS lat, p_size + 0.25::DOUBLE AS lon FROM part""")(
+    lambda s, d: images.extract(_images(s, d)).select("path", "status", "format", "width", "height", "make", "model", "orientation", "iso", "datetime_original", "lat", "lon"))
