@@ -65,7 +65,7 @@ def measures(text: Column) -> Column:
 
 def measured(df: DataFrame, text_col: str = "text") -> DataFrame:
     """All columns, the MEASURES and base_failed."""
-    df = df.withColumn("_m", measures(F.col(text_col)))
+    df = df.withColumn("_m", F.explode(F.array(measures(F.col(text_col)))))  # a generator: what refers to it is not merged into it, so a text is measured once
     where = {"n_symbols": "_m.n_symbols", "n_lines": "_m.l.n_lines", "n_dup_lines": "_m.l.n_dup_lines"}
     df = df.withColumns({m: F.col(where.get(m, f"_m.w.{m}")) for m in MEASURES}).drop("_m")
     return df.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
