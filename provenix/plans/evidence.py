@@ -54,10 +54,10 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def analyzed(ev: DataFrame) -> DataFrame:
-    """Adds timestamps, claims, comparison, device and day columns; ``failed`` marks impossible instants."""
+def analyzed(ev: DataFrame, stamps: Column | None = None) -> DataFrame:
+    """Adds timestamps (``stamps``, or the view's three), claims, comparison, device and day columns; ``failed`` marks impossible instants."""
     raw = F.col
-    stamps = F.array_compact(F.array(
+    stamps = stamps if stamps is not None else F.array_compact(F.array(
         time.normalize_exif(raw("exif_raw"), raw("offset_raw"), "capture", "EXIF DateTimeOriginal"), time.normalize_xmp(raw("xmp_raw"), "capture", "XMP xmp:CreateDate"),
         time.normalize_iptc(raw("iptc_date"), raw("iptc_time"), "IPTC DateCreated/TimeCreated"),
     ))

@@ -10,6 +10,8 @@ from provenix.functions.compare import capture_claims
 from provenix.operators import batch, rules, search
 from provenix.plans.evidence import EV_SQL, analyzed, evidence, flagged
 from provenix.plans.registry import query
+from provenix.sources import index
+from provenix.sources.shared import shared_dir
 
 SQL = f"WITH RECURSIVE {EV_SQL} "
 c = F.col
@@ -205,6 +207,17 @@ ev("build_index_record", f"SELECT {_RECORD}, caption, array_to_string(keywords,
     lambda r: r.select(*_RECORD.split(", "), "caption", F.array_join("keywords", ",").alias("keywords")))
 
 
+def roundtrip(r: DataFrame) -> DataFrame:
+    """The records written as an index and read back."""
+    place = shared_dir(r.sparkSession, "index")
+    index.write_index(r, place)
+    return index.read_index(r.sparkSession, place)
+
+
+ev("index_roundtrip", f"SELECT {_RECORD}, caption, array_to_string(keywords, ',') AS keywords FROM g WHERE status = 'ok'", records)(
+    lambda r: roundtrip(r).select(*_RECORD.split(", "), "caption", F.array_join("keywords", ",").alias("keywords")))
+
+
 def searched(name: str, sql: str, filters: search.Filters) -> None:
     ev(name, _ZONE + f"SELECT path FROM g WHERE status = 'ok' AND {sql}", records)(lambda r: r.where(filters.predicate()).select("path"))
 

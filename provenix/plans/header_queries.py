@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable, Iterator
+from pathlib import Path
+from xml.sax.saxutils import escape
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenix.functions import geo, text
-from provenix.operators import batch
+from provenix.operators import batch, files
 from provenix.plans.registry import query, table
-from provenix.sources import images, magic, synthetic
+from provenix.sources import images, magic, synthetic, xmp
+from provenix.sources.shared import shared_dir
 
 c = F.col
 
@@ -103,20 +109,100 @@ def near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.join(right, "band").where(geo.haversine(c("lat"), c("lon"), c("s_lat"), c("s_lon")) <= 500).groupBy("c_custkey").agg(F.count("*").alias("n"))
 
 
-def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A JPEG for each part, its metadata taken from the part."""
+def _built(rows: DataFrame, build: Callable[[dict], list[tuple[str, bytes]]]) -> DataFrame:
+    """(path, content) of the files built from each row."""
 
-    def build(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            files = [synthetic.jpeg(synthetic.tiff(
-                [(0x010F, 2, r["p_brand"]), (0x0110, 2, r["p_name"]), (0x0112, 3, r["p_size"] % 8 + 1)], [(0x9003, 2, "2026:09:14 18:42:07"), (0x8827, 3, r["p_size"] * 10)],
-                [(1, 2, "NS"[r["p_partkey"] % 2]), (2, 5, [(r["p_partkey"] % 90, 1), (30, 1), (0, 1)]), (3, 2, "E"), (4, 5, [(r["p_size"], 1), (15, 1), (0, 1)])], "<>"[r["p_partkey"] % 2]), r["p_size"] + 100) for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([str(r["p_partkey"]) for r in rows]), pa.array(files, pa.binary())], names=["path", "content"])
+            made = [f for r in batch.to_pylist() for f in build(r)]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in made], pa.string()), pa.array([x for _, x in made], pa.binary())], names=["path", "content"])
+
+    return rows.mapInArrow(run, "path string, content binary")
+
+
+def _exif(r: dict) -> bytes:
+    return synthetic.tiff(
+        [(0x010F, 2, r["p_brand"]), (0x0110, 2, r["p_name"]), (0x0112, 3, r["p_size"] % 8 + 1)], [(0x9003, 2, "2026:09:14 18:42:07"), (0x8827, 3, r["p_size"] * 10), (0x829A, 5, [(10, r["p_size"] * 10)])],
+        [(1, 2, "NS"[r["p_partkey"] % 2]), (2, 5, [(r["p_partkey"] % 90, 1), (30, 1), (0, 1)]), (3, 2, "E"), (4, 5, [(r["p_size"], 1), (15, 1), (0, 1)])], "<>"[r["p_partkey"] % 2])
+
+
+def _parts(spark: SparkSession, sf_dir: str, build: Callable[[dict], bytes]) -> DataFrame:
+    """A decoded file for each part, its metadata taken from the part."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name", "p_size")
+    return images.extract(_built(rows, lambda r: [(str(r["p_partkey"]), build(r))]))
+
+
+query("exif_extract", """SELECT p_partkey::VARCHAR AS path, 'ok' AS status, 'JPEG' AS format, 'JPEG (baseline DCT)' AS encoding, (p_size + 100)::BIGINT AS width, 48::BIGINT AS height, p_brand AS make, p_name AS model, (p_size % 8 + 1)::BIGINT AS orientation, (p_size * 10)::BIGINT AS iso,
+  CASE p_size WHEN 1 THEN '1' ELSE '1/' || p_size END AS exposure_time, '2026:09:14 18:42:07' AS datetime_original, CASE WHEN p_partkey % 2 = 1 THEN -1 ELSE 1 END * (p_partkey % 90 + 0.5::DOUBLE) AS lat, p_size + 0.25::DOUBLE AS lon FROM part""")(
+    lambda s, d: _parts(s, d, lambda r: synthetic.jpeg(_exif(r), r["p_size"] + 100)).select("path", "status", "format", "encoding", "width", "height", "make", "model", "orientation", "iso", "exposure_time", "datetime_original", "lat", "lon"))
+
+
+def _packet(r: dict) -> bytes:
+    """A packet in a JPEG, PNG (plain or packed) or WebP, by the part's key."""
+    words = "".join(f"<rdf:li>{w}</rdf:li>" for w in ("sea", r["p_brand"]))
+    body = f'<dc:subject><rdf:Bag>{words}</rdf:Bag></dc:subject><dc:title><rdf:Alt><rdf:li xml:lang="de">anders</rdf:li><rdf:li xml:lang="x-default">{escape(r["p_name"])}</rdf:li></rdf:Alt></dc:title><xmp:Rating>9</xmp:Rating>'
+    text = synthetic.xmp({"xmp:CreateDate": "2026-09-14T18:42:07Z", "xmp:Rating": str(r["p_size"] % 6), "tiff:Make": r["p_brand"], "aux:SerialNumber": f"S{r['p_size']}"}, body)
+    kind = r["p_partkey"] % 4
+    if kind == 0:
+        return synthetic.jpeg(None, segments=[(0xE1, xmp.JPEG_HEADER + text)])
+    return synthetic.webp(text) if kind == 3 else synthetic.png([(b"iTXt", synthetic.itxt(text, kind == 2))])
+
+
+query("xmp_extract", f"""SELECT p_partkey::VARCHAR AS path, ([{", ".join(f"'{x}'" for x in ("JPEG", "PNG", "PNG", "WEBP"))}])[p_partkey % 4 + 1] AS format, p_name AS title, 'sea,' || p_brand AS subject, '2026-09-14T18:42:07Z' AS create_date, (p_size % 6)::BIGINT AS rating, p_brand AS make, 'S' || p_size AS serial FROM part""")(
+    lambda s, d: _parts(s, d, _packet).select("path", "format", "xmp.title", F.array_join("xmp.subject", ",").alias("subject"), "xmp.create_date", "xmp.rating",
+        *(F.try_element_at("xmp.exif_in_xmp", F.lit(f"{ns}#{n}")).alias(a) for ns, n, a in ((xmp.CAMERA[0], "Make", "make"), (xmp.CAMERA[2], "SerialNumber", "serial")))))
+
+
+def _record(r: dict) -> bytes:
+    date, clock = f"2026{r['p_size'] % 13:02}14".encode(), (b"184207+0000", b"184207", b"250000")[r["p_partkey"] % 3]
+    return synthetic.jpeg(None, segments=[(0xED, synthetic.iptc([(0, b"\0\4"), (25, r["p_brand"].encode()), (25, "Küste".encode("latin-1")), (55, date), (60, clock), (120, r["p_name"].encode()), (120, b"again")]))])
+
+
+query("iptc_extract", """SELECT p_partkey::VARCHAR AS path, 4::BIGINT AS record_version, p_brand || ',Küste' AS keywords, p_name AS caption, CASE WHEN p_size % 13 > 0 THEN printf('2026-%02d-14', p_size % 13) END AS date_created,
+  (['18:42:07+00:00', '18:42:07', NULL])[p_partkey % 3 + 1] AS time_created, 7::BIGINT AS datasets FROM part""")(
+    lambda s, d: _parts(s, d, _record).select("path", "iptc.record_version", F.array_join("iptc.keywords", ",").alias("keywords"), "iptc.caption", "iptc.date_created", "iptc.time_created", F.array_size("iptc.raw").cast("long").alias("datasets")))
+
+
+def _profile(r: dict) -> bytes:
+    """A profile in a JPEG's chunks or a PNG; of every fifth JPEG a chunk is missing."""
+    body = synthetic.icc(1980 + r["p_size"], 200 + r["p_size"])
+    if r["p_partkey"] % 2:
+        return synthetic.png([(b"iCCP", b"name\0\0" + zlib.compress(body))])
+    return synthetic.jpeg(None, segments=synthetic.icc_segments(body, 100)[r["p_partkey"] % 5 == 0 :])
+
+
+query("icc_extract", """SELECT p_partkey::VARCHAR AS path, p_partkey % 10 <> 0 AS present, x.version, x.device_class, x.created, x.size_bytes, x.signature_valid, x.tags FROM part LEFT JOIN
+  (SELECT p_partkey AS k, '2.1.0' AS version, 'display device' AS device_class, (1980 + p_size) || '-09-14T18:42:07' AS created, (200 + p_size)::BIGINT AS size_bytes, true AS signature_valid, 'desc' AS tags FROM part WHERE p_partkey % 10 <> 0) x ON k = p_partkey""")(
+    lambda s, d: _parts(s, d, _profile).select("path", "icc.present", "icc.version", F.col("icc.device_class_name").alias("device_class"), "icc.created", F.when(c("icc.present"), c("icc.size_bytes")).alias("size_bytes"), "icc.signature_valid", F.array_join("icc.tags.signature", ",").alias("tags")))
+
+_TABLE = bytes(65)
+
+
+def _small(r: dict) -> bytes:
+    """A JPEG with a thumbnail; their quantization tables and Huffman tables go by the part."""
+    tables = lambda n, huffman: [(0xDB, _TABLE * n)] + [(0xC4, bytes(20))] * huffman
+    blob = synthetic.jpeg(None, 100 + r["p_size"], 120, tables(1 + r["p_size"] % 2, r["p_partkey"] % 2))
+    return synthetic.jpeg(synthetic.with_thumbnail(synthetic.tiff([(0x010F, 2, r["p_brand"])]), blob), 640, 480, tables(2, 1))
+
+
+query("jpeg_encoder_signals", "SELECT p_partkey::VARCHAR AS path, 2::BIGINT AS main_dqt, true AS main_dht, (1 + p_size % 2)::BIGINT AS thumb_dqt, p_partkey % 2 = 1 AS thumb_dht FROM part")(
+    lambda s, d: _parts(s, d, _small).select("path", "main_dqt", "main_dht", F.get("thumbnails", 0)["dqt"].alias("thumb_dqt"), F.get("thumbnails", 0)["dht"].alias("thumb_dht")))
+query("thumbnail_extract", "SELECT p_partkey::VARCHAR AS path, 0::BIGINT AS index, 'EXIF IFD1 (JPEG blob)' AS source, 'JPEG' AS format, (100 + p_size)::BIGINT AS width, 120::BIGINT AS height, (92 + (p_size % 2) * 65 + (p_partkey % 2) * 24)::BIGINT AS byte_size FROM part")(
+    lambda s, d: _parts(s, d, _small).select("path", F.inline("thumbnails")).select("path", "index", "source", "format", "width", "height", "byte_size"))
+
 
-    return table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name", "p_size").mapInArrow(build, "path string, content binary")
+@query("scan_files", "SELECT 'r' || n_regionkey || '/' || n_nationkey || '.jpg' AS path, 'ok' AS status, n_name AS make, NULL::VARCHAR AS error FROM nation UNION ALL SELECT 'r' || r_regionkey || '/.hidden.txt', 'skipped', NULL, 'not a recognized image format (magic bytes)' FROM region")
+def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder with a file for each nation, in a subfolder for each region with a hidden file that is no image, listed and decoded."""
+    root = Path(shared_dir(spark, "scan").removeprefix("file:")).resolve()
+    for r in table(spark, sf_dir, "region").select("r_regionkey").collect():  # region and nation are of fixed size
+        (root / f"r{r.r_regionkey}").mkdir(parents=True)
+        (root / f"r{r.r_regionkey}" / ".hidden.txt").write_text("no image")
+    for n in table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").collect():
+        (root / f"r{n.n_regionkey}" / f"{n.n_nationkey}.jpg").write_bytes(synthetic.jpeg(synthetic.tiff([(0x010F, 2, n.n_name)])))
+    found = images.extract(images.scan(spark, str(root), recursive=True))
+    return found.select(F.substring(c("path"), F.lit(len(str(root)) + 2), F.length("path")).alias("path"), "status", "make", "error")
 
 
-query("exif_extract", """SELECT p_partkey::VARCHAR AS path, 'ok' AS status, 'JPEG' AS format, (p_size + 100)::BIGINT AS width, 48::BIGINT AS height, p_brand AS make, p_name AS model, (p_size % 8 + 1)::BIGINT AS orientation, (p_size * 10)::BIGINT AS iso,
-  '2026:09:14 18:42:07' AS datetime_original, CASE WHEN p_partkey % 2 = 1 THEN -1 ELSE 1 END * (p_partkey % 90 + 0.5::DOUBLE) AS lat, p_size + 0.25::DOUBLE AS lon FROM part""")(
-    lambda s, d: images.extract(_images(s, d)).select("path", "status", "format", "width", "height", "make", "model", "orientation", "iso", "datetime_original", "lat", "lon"))
+query("file_analysis", """SELECT p_partkey::VARCHAR AS path, 'ok' AS status, '2026-09-14' AS capture_day, 'EXIF DateTimeOriginal' AS sources, true AS has_gps, p_partkey % 90 < 90 AND p_size < 180 AS gps_valid, 0 AS flags FROM part""")(
+    lambda s, d: files.analyze(_parts(s, d, lambda r: synthetic.jpeg(_exif(r)))).select("path", "status", "capture_day", F.array_join("timestamps.source", ",").alias("sources"), "has_gps", "gps_valid", F.size("flags").alias("flags")))

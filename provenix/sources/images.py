@@ -3,21 +3,43 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
+from fractions import Fraction
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from provenix.sources.containers import dimensions
+from provenix.sources import icc, iptc, thumbnails, xmp
+from provenix.sources.containers import dimensions, encoding
 from provenix.sources.magic import detect_format
 from provenix.sources.tiff import Directories, exif_payload
 
-#: Tags of the columns.
-TAGS = {"make": 0x010F, "model": 0x0110, "orientation": 0x0112, "software": 0x0131, "datetime_file": 0x0132, "datetime_original": 0x9003, "offset_time_original": 0x9011, "iso": 0x8827, "body_serial": 0xA431, "lens_model": 0xA434}
-NUMBERS = {"orientation", "iso"}
-SCHEMA = "path string, status string, error string, format string, width long, height long, " + ", ".join(f"{t} {'long' if t in NUMBERS else 'string'}" for t in TAGS) + ", lat double, lon double, warnings array<string>"
+#: Tags of the columns, by what they hold.
+TEXTS = {
+    "make": 0x010F, "model": 0x0110, "software": 0x0131, "datetime_file": 0x0132, "datetime_original": 0x9003, "datetime_digitized": 0x9004, "offset_time": 0x9010, "offset_time_original": 0x9011,
+    "offset_time_digitized": 0x9012, "camera_owner": 0xA430, "body_serial": 0xA431, "lens_serial": 0xA433, "lens_model": 0xA434,
+}
+NUMBERS = {"orientation": 0x0112, "iso": 0x8827, "flash": 0x9209}
+RATIOS = {"exposure_seconds": 0x829A, "f_number": 0x829D, "focal_length_mm": 0x920A}
+GPS_RATIOS = {"gps_altitude": 6, "gps_dop": 0xB, "gps_direction": 0xD}
+#: Bytes from a file's start in which metadata are looked for.
+REACH = 4 << 20
+
+XMP = "packet string, truncated boolean, namespaces array<string>, title string, creator array<string>, description string, rights string, subject array<string>, create_date string, modify_date string, creator_tool string, rating long, authors_position string, credit string, source string, date_created string, exif_in_xmp map<string,string>, properties map<string,string>, warnings array<string>"
+IPTC = ", ".join([*(f"{n} string" for n in iptc.ONE.values()), *(f"{n} array<string>" for n in iptc.MANY.values())]) + ", date_created string, time_created string, record_version long, raw array<struct<record long, dataset long, value string, hex string>>, warnings array<string>"
+ICC = "present boolean, size_bytes long, size_claimed long, preferred_cmm string, version string, device_class string, device_class_name string, color_space string, pcs string, created string, signature_valid boolean, platform string, device_manufacturer string, device_model string, rendering_intent long, rendering_intent_name string, creator string, tags array<struct<signature string, offset long, size long, readable boolean>>, tag_count long, warnings array<string>"
+THUMBNAIL = "index long, source string, byte_size long, sha256 string, width long, height long, format string, dqt long, dht boolean"
+SCHEMA = ", ".join([
+    "path string, sha256 string, size_bytes long, modified timestamp_ntz, status string, error string, format string, encoding string, width long, height long", *(f"{n} string" for n in TEXTS), *(f"{n} long" for n in NUMBERS),
+    *(f"{n} double" for n in (*RATIOS, *GPS_RATIOS)), "exposure_time string, flash_fired boolean, timezone_known boolean, lat double, lon double, gps_altitude_ref long, gps_direction_ref string, gps_date string, gps_time array<double>",
+    f"xmp struct<{XMP}>, iptc struct<{IPTC}>, icc struct<{ICC}>, thumbnails array<struct<{THUMBNAIL}>>, thumbnail_claimed boolean, main_dqt long, main_dht boolean, warnings array<string>",
+])
 
 
 def list_files(root: str, recursive: bool = False) -> list[str]:
@@ -31,57 +53,143 @@ def list_files(root: str, recursive: bool = False) -> list[str]:
     return sorted(os.path.join(d, f) for d, _, files in os.walk(root) for f in files if os.path.isfile(os.path.join(d, f)))
 
 
-def scan(spark: SparkSession, root: str, recursive: bool = False) -> DataFrame:
-    """(path, content) of a folder's files; contents are read by the tasks."""
+def scan(spark: SparkSession, root: str, recursive: bool = False, largest: int = 512 << 20) -> DataFrame:
+    """(path, content, modified) of a folder's files; contents are read by the tasks, one file a batch. Unreadable files and those over ``largest`` bytes have null content."""
+    schema = "path string, content binary, modified timestamp_ntz"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
+                row = {"path": path, "content": None, "modified": None}
                 try:
-                    content = Path(path).read_bytes()
+                    about = os.stat(path)
+                    row["modified"] = datetime.fromtimestamp(about.st_mtime, UTC).replace(tzinfo=None)
+                    if about.st_size <= largest:
+                        row["content"] = Path(path).read_bytes()
                 except OSError:
-                    content = None
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content], pa.binary())], names=["path", "content"])
+                    pass
+                yield pa.RecordBatch.from_pylist([row], schema=arrow)
 
     paths = spark.createDataFrame([(p,) for p in list_files(root, recursive)], "path string")
-    return paths.repartition("path").mapInArrow(read, "path string, content binary")
+    return paths.repartition("path").mapInArrow(read, schema)
 
 
-def _degrees(value: object, ref: object, negative: str) -> float | None:
-    if not isinstance(value, list) or len(value) != 3 or not isinstance(ref, str) or any(not isinstance(x, tuple) or not x[1] for x in value):
-        return None
-    d, m, s = (a / b for a, b in value)
-    return (-1 if ref.strip().upper() == negative else 1) * (abs(d) + m / 60 + s / 3600)
+def _ratio(value: object) -> Fraction | None:
+    return Fraction(*value) if isinstance(value, tuple) and value[1] else None
+
+
+def _ratios(value: object) -> list[Fraction] | None:
+    """Three fractions, as places and times of day are given."""
+    out = [_ratio(x) for x in value] if isinstance(value, list) and len(value) == 3 else [None]
+    return None if None in out else out
+
+
+def _text(value: object) -> str | None:
+    return (value.strip() or None) if isinstance(value, str) else None
 
 
-def decode(path: str, fmt: str, content: bytes) -> dict:
-    """One file's row; whatever goes wrong is the row's error."""
-    row: dict = {"path": path, "status": "ok", "format": fmt, "warnings": []}
+def _degrees(value: object, ref: object, positive: str, negative: str) -> float | None:
+    parts, side = _ratios(value), (_text(ref) or "").upper()
+    if parts is None or side not in (positive, negative):
+        return None
+    d, m, s = map(float, parts)
+    return (-1 if side == negative else 1) * (abs(d) + m / 60 + s / 3600)
+
+
+def _exif(payload: bytes) -> dict:
+    found = Directories(payload)
+    tags, gps = found.tags, found.gps
+    row: dict = {n: _text(tags.get(t)) for n, t in TEXTS.items()}
+    row |= {n: tags[t] if isinstance(tags.get(t), int) else None for n, t in NUMBERS.items()}
+    for source, names in ((tags, RATIOS), (gps, GPS_RATIOS)):
+        row |= {n: float(x) if (x := _ratio(source.get(t))) is not None else None for n, t in names.items()}
+    exposure, clock = _ratio(tags.get(RATIOS["exposure_seconds"])), _ratios(gps.get(7))
+    return row | {
+        "exposure_time": None if exposure is None else str(exposure), "flash_fired": None if row["flash"] is None else bool(row["flash"] & 1), "timezone_known": any(row[n] for n in ("offset_time", "offset_time_original", "offset_time_digitized")),
+        "lat": _degrees(gps.get(2), gps.get(1), "N", "S"), "lon": _degrees(gps.get(4), gps.get(3), "E", "W"), "gps_altitude_ref": gps[5] if isinstance(gps.get(5), int) else None, "gps_direction_ref": _text(gps.get(0xC)),
+        "gps_date": _text(gps.get(0x1D)), "gps_time": None if clock is None else [float(x) for x in clock], "warnings": found.warnings,
+    }
+
+
+def decode(fmt: str, content: bytes) -> dict:
+    """One file's columns; whatever goes wrong is the row's error."""
+    data = content[:REACH]
+    row: dict = {"status": "ok", "warnings": []}
     try:
-        row["width"], row["height"] = dimensions(fmt, content)
-        payload = exif_payload(fmt, content)
+        row["width"], row["height"] = dimensions(fmt, data)
+        row["encoding"] = encoding(fmt, data)
+        payload = exif_payload(fmt, data)
         if payload is not None:
-            found = Directories(payload)
-            for name, tag in TAGS.items():
-                value = found.tags.get(tag)
-                row[name] = value if isinstance(value, int if name in NUMBERS else str) else None
-            row["lat"], row["lon"] = _degrees(found.gps.get(2), found.gps.get(1), "S"), _degrees(found.gps.get(4), found.gps.get(3), "W")
-            row["warnings"] = found.warnings
+            row |= _exif(payload)
+        row |= {"xmp": xmp.decode(fmt, data), "iptc": iptc.decode(fmt, data), "icc": icc.decode(fmt, data)}
+        small = thumbnails.decode(fmt, data)
+        if small:
+            row |= {"thumbnails": small["found"], "thumbnail_claimed": small["claimed"], "main_dqt": small["main_dqt"], "main_dht": small["main_dht"], "warnings": row["warnings"] + small["warnings"]}
     except Exception as e:  # one bad file is a row, not a failed job
         row |= {"status": "error", "error": f"{type(e).__name__}: {e}"}
     return row
 
 
+def _with_format(files: DataFrame) -> DataFrame:
+    modified = F.col("modified") if "modified" in files.columns else F.lit(None)
+    known = F.coalesce(detect_format(F.col("content")), F.lit("UNKNOWN")).alias("format")
+    return files.select("path", "content", known, F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("size_bytes"), modified.cast("timestamp_ntz").alias("modified"))
+
+
 def extract(files: DataFrame) -> DataFrame:
-    """Decoded rows of (path, content); unknown formats and unreadable files are skipped ones."""
+    """Decoded rows of (path, content, and modified if there is one); unknown formats are skipped, unreadable files (null content) are errors.
 
-    kinds = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "array<string>": pa.list_(pa.string())}
-    schema = pa.schema([(name, kinds[kind]) for name, kind in (x.split(" ") for x in SCHEMA.split(", "))])
+    Works on streams too. A batch's contents are held by one task at a time; ``spark.sql.execution.arrow.maxRecordsPerBatch`` bounds its rows.
+    """
+    schema = to_arrow_schema(StructType.fromDDL(SCHEMA))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [decode(p, f, x) if f != "UNKNOWN" else {"path": p, "status": "skipped", "format": f, "warnings": []} for p, x, f in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            rows = []
+            for path, content, fmt, sha256, size, modified in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                row = {"path": path, "format": fmt, "sha256": sha256, "size_bytes": size, "modified": modified, "warnings": []}
+                if content is None:
+                    row |= {"status": "error", "error": "cannot be read"}
+                elif fmt == "UNKNOWN":
+                    row |= {"status": "skipped", "error": "not a recognized image format (magic bytes)"}
+                else:
+                    row |= decode(fmt, content)
+                rows.append(row)
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    with_format = files.select("path", "content", F.coalesce(detect_format(F.col("content")), F.lit("UNKNOWN")).alias("format"))
-    return with_format.mapInArrow(run, SCHEMA)
+    return _with_format(files).mapInArrow(run, SCHEMA)
+
+
+def thumbnail_files(files: DataFrame) -> DataFrame:
+    """(path, name, index, format, sha256, blob) of every embedded thumbnail, named for its file."""
+    schema = "path string, name string, index long, format string, sha256 string, blob binary"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content, fmt in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                small = thumbnails.decode(fmt, content[:REACH]) if content is not None else None
+                rows = [{k: v for k, v in t.items() if k in arrow.names} | {"path": path, "name": thumbnails.file_name(path, t["index"], t["format"])} for t in (small["found"] if small else [])]
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    return _with_format(files).select("path", "content", "format").mapInArrow(run, schema)
+
+
+def write_thumbnails(files: DataFrame, folder: str, force: bool = False) -> DataFrame:
+    """Writes thumbnails into a folder that all executors see: (path, name, written). Files that are there stay unless forced; a file appears whole or not at all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = []
+            for row in batch.to_pylist():
+                target = Path(folder) / row["name"]
+                done.append(force or not target.exists())
+                if done[-1]:
+                    part = target.with_name(f".{row['name']}.{uuid.uuid4().hex}")
+                    part.write_bytes(row["blob"])
+                    part.replace(target)
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("name"), pa.array(done, pa.bool_())], names=["path", "name", "written"])
+
+    return thumbnail_files(files).mapInArrow(run, "path string, name string, written boolean")

@@ -32,6 +32,7 @@ class Directories:
         self.gps: dict[int, object] = {}
         if not self.order or len(data) < 8 or struct.unpack(self.order + "H", data[2:4])[0] != 42:
             self.warnings.append("not a TIFF structure")
+            self.order = ""
             return
         self.tags = self.read(struct.unpack(self.order + "I", data[4:8])[0], "IFD0")
         for pointer, name in ((EXIF_POINTER, "EXIF"), (GPS_POINTER, "GPS")):
@@ -42,6 +43,24 @@ class Directories:
                 else:
                     self.tags = found | self.tags
 
+    def blob(self, tag: int) -> bytes | None:
+        """A tag of bytes."""
+        value = self.tags.get(tag)
+        if isinstance(value, list) and all(isinstance(x, int) and 0 <= x < 256 for x in value):
+            return bytes(value)
+        return value if isinstance(value, bytes) else None
+
+    def second(self) -> dict[int, object] | None:
+        """Tags of the directory after the first; None without one."""
+        if not self.order:
+            return None
+        first = struct.unpack(self.order + "I", self.data[4:8])[0]
+        if first + 2 > len(self.data):
+            return None
+        link = first + 2 + 12 * min(struct.unpack(self.order + "H", self.data[first : first + 2])[0], MAX_TAGS)
+        at = struct.unpack(self.order + "I", self.data[link : link + 4])[0] if link + 4 <= len(self.data) else 0
+        return self.read(at, "IFD1") if at else None
+
     def read(self, at: int, name: str) -> dict[int, object]:
         """Tags of the directory at an offset; of a repeated tag the first counts."""
         if at + 2 > len(self.data):
