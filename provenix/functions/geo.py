@@ -43,7 +43,7 @@ def bearing(value: Column) -> Column:
     return F.pmod(value, F.lit(360.0)) + 0.0  # no negative zero
 
 
-def osm_link(lat: Column, lon: Column, zoom: int = 16) -> Column:
+def osm_link(lat: Column, lon: Column, zoom: int = 15) -> Column:
     return F.format_string("https://www.openstreetmap.org/?mlat=%.6f&mlon=%.6f#map=" + str(zoom) + "/%.6f/%.6f", lat, lon, lat, lon)
 
 

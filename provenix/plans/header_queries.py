@@ -72,7 +72,7 @@ query("gps_validity", f"SELECT p_partkey, {_DMS} BETWEEN -90 AND 90 AND p_size *
 query("altitude_sign", "SELECT p_partkey, CASE WHEN (CASE WHEN p_size % 2 = 1 THEN -1 ELSE 1 END) * p_partkey BETWEEN -1000 AND 12000 THEN ((CASE WHEN p_size % 2 = 1 THEN -1 ELSE 1 END) * p_partkey)::DOUBLE END AS altitude FROM part")(
     lambda s, d: table(s, d, "part").select("p_partkey", geo.altitude(c("p_partkey").cast("double"), c("p_size") % 2).alias("altitude")))
 query("bearing_wrap", "SELECT p_partkey, ((p_partkey - 1000) % 360 + 360)::DOUBLE % 360 AS bearing FROM part")(lambda s, d: table(s, d, "part").select("p_partkey", geo.bearing((c("p_partkey") - 1000).cast("double")).alias("bearing")))
-query("osm_link", "SELECT p_partkey, printf('https://www.openstreetmap.org/?mlat=%.6f&mlon=%.6f#map=16/%.6f/%.6f', p_size + 0.25, p_partkey % 180 + 0.5, p_size + 0.25, p_partkey % 180 + 0.5) AS link FROM part")(
+query("osm_link", "SELECT p_partkey, printf('https://www.openstreetmap.org/?mlat=%.6f&mlon=%.6f#map=15/%.6f/%.6f', p_size + 0.25, p_partkey % 180 + 0.5, p_size + 0.25, p_partkey % 180 + 0.5) AS link FROM part")(
     lambda s, d: table(s, d, "part").select("p_partkey", geo.osm_link(c("p_size") + F.lit(0.25).cast("double"), c("p_partkey") % 180 + F.lit(0.5).cast("double")).alias("link")))
 
 
