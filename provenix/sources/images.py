@@ -178,7 +178,7 @@ def thumbnail_files(files: DataFrame) -> DataFrame:
 
 
 def write_thumbnails(files: DataFrame, folder: str, force: bool = False) -> DataFrame:
-    """Writes thumbnails into a folder that all executors see: (path, name, written). Files that are there stay unless forced; a file appears whole or not at all."""
+    """Writes thumbnails into a folder that all executors see: (path, name, written). Files that are there stay unless forced; a file appears whole or not at all. Nothing is written before an action, and a second action finds the files there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
