@@ -95,7 +95,7 @@ query("orientation_flash", f"SELECT p_partkey, {_ORIENT}[p_size % 9] AS orientat
 query("chunk_reassembly", "SELECT conv_id, sha256(string_agg(text, '' ORDER BY turn)) AS sha256, count(*) AS chunks FROM conversations GROUP BY conv_id")(
     lambda s, d: table(s, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("x")).select("conv_id", F.sha2(F.array_join(c("x.text"), ""), 256).alias("sha256"), F.size("x").cast("long").alias("chunks")))
 query("missing_chunks", "SELECT c.conv_id, string_agg(i::VARCHAR, ',' ORDER BY i) AS missing FROM (SELECT conv_id, max(turn) AS m FROM conversations GROUP BY conv_id) c, range(0, 10) r(i) WHERE i <= m + 2 AND NOT EXISTS (SELECT 1 FROM conversations x WHERE x.conv_id = c.conv_id AND x.turn = i) GROUP BY c.conv_id")(
-    lambda s, d: table(s, d, "conversations").groupBy("conv_id").agg(F.collect_set("turn").alias("seen"), F.max("turn").alias("m")).select("conv_id", F.array_join(F.transform(F.array_except(F.sequence(F.lit(0).cast("long"), F.least(c("m") + 2, F.lit(9).cast("long"))), "seen"), lambda x: x.cast("string")), ",").alias("missing")))
+    lambda s, d: table(s, d, "conversations").groupBy("conv_id").agg(F.collect_set("turn").alias("seen"), F.max("turn").alias("m")).where("m >= -2").select("conv_id", F.array_join(F.transform(F.array_except(F.sequence(F.lit(0).cast("long"), c("m") + 2), "seen"), lambda x: x.cast("string")), ",").alias("missing")))
 
 
 @query("near_join", "SELECT c_custkey, count(*) AS n FROM customer JOIN supplier ON 2 * 6371.0 * asin(sqrt(least(pow(sin(radians(s_suppkey % 170 - 85 - (c_custkey % 170 - 85)) / 2), 2) + cos(radians(c_custkey % 170 - 85)) * cos(radians(s_suppkey % 170 - 85)) * pow(sin(radians(s_suppkey % 350 - 175 - (c_custkey % 350 - 175)) / 2), 2), 1.0))) <= 500 GROUP BY c_custkey")
