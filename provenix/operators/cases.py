@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from provenix.sources.shared import shared_dir
+
 STATUSES = ("open", "in-progress", "closed")
 VERDICTS = ("confirmed", "dismissed", "unsure")
+#: Rows of a range that one task numbers.
+RANGE = 65_536
 
 
 def latest(events: DataFrame, key: str, value: str, order: str) -> DataFrame:
@@ -25,5 +31,18 @@ def numbered(items: DataFrame, case: str, *order: str) -> DataFrame:
     return items.withColumn("evidence_no", n).withColumn("evidence_id", F.format_string("%s-E%02d", F.col(case).cast("string"), n))
 
 
+def placed(items: DataFrame, name: str, *order: str) -> DataFrame:
+    """``name`` from 1 over all rows in their order: ranges of the order are written, numbered each by itself and get their starts from counts."""
+    spark = items.sparkSession
+    path = shared_dir(spark, "cases-ranges")
+    items.repartitionByRange(items.count() // RANGE + 1, *order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.parquet(path)
+    counts = sorted(tuple(r) for r in ranged.groupBy("_range").count().collect())  # a row a range
+    starts = list(zip((k for k, _ in counts), accumulate((n for _, n in counts), initial=0)))  # noqa: B905
+    inner = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    starts = F.broadcast(spark.createDataFrame(starts, "_range int, _start long"))
+    return inner.join(starts, "_range").withColumn(name, F.col("_start") + F.col("_i")).drop("_range", "_start", "_i")
+
+
 def verify_status(recorded: Column, found: Column, present: Column) -> Column:
     return F.when(~F.coalesce(present, F.lit(False)), "missing").when(found.isNull(), "unreadable").when(recorded == found, "ok").otherwise("changed")

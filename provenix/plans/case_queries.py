@@ -51,7 +51,7 @@ def _verify(s: SparkSession, d: str) -> DataFrame:
 query("verify_status", _VERIFY)(_verify)
 query("verify_tally", f"SELECT status, count(*) AS n FROM ({_VERIFY}) GROUP BY status")(lambda s, d: _verify(s, d).groupBy("status").agg(F.count("*").alias("n")))
 query("list_cases_order", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS place FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 300000")(
-    lambda s, d: cases.numbered(table(s, d, "orders").where("o_orderstatus = 'F' and o_totalprice > 300000").withColumn("all", F.lit(1)), "all", "o_orderdate", "o_orderkey").select("o_orderkey", c("evidence_no").cast("long").alias("place")))
+    lambda s, d: cases.placed(table(s, d, "orders").where("o_orderstatus = 'F' and o_totalprice > 300000").select("o_orderdate", "o_orderkey"), "place", "o_orderdate", "o_orderkey").select("o_orderkey", "place"))
 
 
 @query("case_stats", "SELECT o_orderkey, count(l_orderkey) AS evidence, max(CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'P' THEN 'in-progress' ELSE 'closed' END) AS status FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
