@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenix.llm import bpe, mixing, near_dedup, quality, secrets
-from provenix.llm.common import table, work_dir
+from provenix.llm.common import table, work_dir, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -23,9 +23,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near-duplicates; of repeated rows of that id with one text, one."""
-    gone = near_dedup.near_duplicates(docs, 80).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*COLUMNS)
+    """The document of least id of each group of near-duplicates; of repeated rows of one id and text, one.
+
+    Decided by id and text, null-safe: other texts of a dropped copy's id stay, and a copy without an id goes.
+    Of repeated rows the one of least lang, source and n_chars stays. Texts of one id that are linked, and
+    linked texts none of which has an id, are kept together as near_duplicates says.
+    """
+    docs = docs.select(*COLUMNS).withColumn("_hash", F.sha2("text", 256))
+    decided = near_dedup.near_duplicates(docs, 80, carry=("_hash",)).groupBy("doc_id", "_hash").agg(F.bool_and("kept").alias("_kept"), F.count("*").alias("_rows"))
+    odd = written(decided.where("not _kept or _rows > 1").select(F.col("doc_id").alias("_odd"), F.col("_hash").alias("_odd_hash"), "_kept"), "dedup-odd")
+    same = F.col("doc_id").eqNullSafe(F.col("_odd")) & F.col("_hash").eqNullSafe(F.col("_odd_hash"))
+    repeated = docs.join(odd.where("_kept"), same, "left_semi").groupBy("doc_id", "_hash").agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("_row")).select("doc_id", "_row.*")
+    return docs.join(odd, same, "left_anti").select(*COLUMNS).unionByName(repeated.select(*COLUMNS))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

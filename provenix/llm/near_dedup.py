@@ -81,8 +81,8 @@ def _set_hash(items: np.ndarray) -> bytes | None:
     return hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None
 
 
-def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n (set size), set_hash and sig (both binary, null without words) of each row."""
+def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n (set size), set_hash and sig (both binary, null without words) of each row, and its columns named in carry."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("near-dedup", _words.cache_clear)
@@ -93,9 +93,10 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 n.append(len(items))
                 hashes.append(_set_hash(items))
                 sigs.append(signature(items).tobytes() if len(items) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hashes, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n", "set_hash", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hashes, pa.binary()), pa.array(sigs, pa.binary()), *batch.columns[2:]], names=["doc_id", "n", "set_hash", "sig", *carry])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n long, set_hash binary, sig binary")
+    schema = ", ".join(["doc_id long, n long, set_hash binary, sig binary", *(f"{x} {df.schema[x].dataType.simpleString()}" for x in carry)])
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry).mapInArrow(run, schema)
 
 
 def sets(df: DataFrame, needed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,16 +254,16 @@ def long_links(opened: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return met.groupBy("token", "low", "high").applyInArrow(_links(percent), "a long, b long")
 
 
-def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links), kept (doc_id = component_id).
 
     Documents without words, null texts too, have no shingles and stand alone. Rows that share an id
     are a document each, and are kept together or not at all if their sets are linked. Null ids never
     name a component unless all of it has none; then its id is null and its rows are kept. An empty
-    table gives no rows; other columns are not read.
+    table gives no rows; of other columns only those named in carry are read, and returned with their row.
     """
     tune(df.sparkSession, ROWS)
-    rows = written(sketches(df, id_col, text_col), "dedup-sketches")
+    rows = written(sketches(df, id_col, text_col, carry), "dedup-sketches")
     classes = rows.where("set_hash is not null").groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "dedup-classes")
     lists = written(prefixes(classes), "dedup-lists")
@@ -280,4 +281,4 @@ def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", te
     heads = heads.join(names, "label").select(F.col("set_hash").alias("_set"), "_component")
     out = rows.join(heads, rows["set_hash"] == F.col("_set"), "left")
     component = F.when(F.col("set_hash").isNull(), F.col("doc_id")).otherwise(F.col("_component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), *carry)
