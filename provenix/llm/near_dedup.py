@@ -2,10 +2,10 @@
 
 A text's set of word shingles has a signature of COORDINATES MinHash values. Every document is posted
 under each (coordinate, value). Two texts whose sets agree by the threshold collide on at least
-LEAST_MATCHES coordinates but for a chance of about 1e-7, so, with each document's postings in one
-global order, rarest first, they meet within the first (shared - LEAST_MATCHES + 1) of their shared
-postings (prefix): only those lists are merged, and a document with fewer shared postings than
-LEAST_MATCHES is skipped altogether. What many unrelated documents share, like a licence text, has
+least_matches(percent) coordinates but for a chance of MISS at most (1.5e-7 at 38 matches for 0.85,
+8.2e-8 at 33 for 0.80), so, with each document's postings in one global order, rarest first, they meet
+within the first (shared - least + 1) of their shared postings (prefix): only those lists are merged,
+and a document with fewer shared postings than that is skipped altogether. What many unrelated documents share, like a licence text, has
 long lists, which come last and are hardly ever merged.
 
 Long lists are never expanded into all pairs. Equal sets are one representative first. Then each
@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 from provenix.llm.common import tune, written
 from provenix.llm.pieces import Memo, claim
 
-COORDINATES, LEAST_MATCHES, SHINGLE = 64, 38, 5
+COORDINATES, SHINGLE = 64, 5
+#: Chance that two sets at the threshold's similarity miss the match threshold, at most.
+MISS = 2e-7
 #: Words whose hashes a worker remembers; shingles hashed at a time; rows of an Arrow batch that holds sets.
 KEPT, CHUNK, ROWS = 200_000, 2048, 256
 #: A list of more documents is merged by blocks; documents in a block; columns of shingles counted at a time.
@@ -54,6 +57,17 @@ def _family(coordinates: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array([draw(i, 1) | 1 for i in range(coordinates)], np.uint64), np.array([draw(i, 2) for i in range(coordinates)], np.uint64)
 
 
+@lru_cache(maxsize=8)
+def least_matches(percent: int) -> int:
+    """The most matches that two sets at this similarity miss with a chance of MISS at most: matches are binomial."""
+    p, chance = percent / 100, 0.0
+    for k in range(COORDINATES):
+        chance += comb(COORDINATES, k) * p**k * (1 - p) ** (COORDINATES - k)
+        if chance > MISS:
+            return max(k, 1)
+    return COORDINATES
+
+
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; of fewer words the whole sequence is one."""
     ws = (text or "").encode().lower().split()  # bytes: A-Z and the six ASCII spaces only
@@ -128,7 +142,7 @@ def postings(reps: DataFrame) -> DataFrame:
     return reps.select("id", "sig").mapInArrow(run, "id long, token long")
 
 
-def prefixes(reps: DataFrame, least: int = LEAST_MATCHES) -> DataFrame:
+def prefixes(reps: DataFrame, least: int) -> DataFrame:
     """(id, token) of the lists that have to be merged."""
     posted = postings(reps)
     shared = posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
@@ -154,8 +168,9 @@ def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long")
 
 
-def matching(pairs: DataFrame, reps: DataFrame, percent: int, least: int = LEAST_MATCHES) -> DataFrame:
+def matching(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b) those whose signatures agree on enough coordinates and whose sizes allow a link."""
+    least = least_matches(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,7 +281,7 @@ def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", te
     rows = written(sketches(df, id_col, text_col, carry), "dedup-sketches")
     classes = rows.where("set_hash is not null").groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "dedup-classes")
-    lists = written(prefixes(classes), "dedup-lists")
+    lists = written(prefixes(classes, least_matches(percent)), "dedup-lists")
     active = written(classes.join(lists.select("id").distinct(), "id", "left_semi"), "dedup-active")
     full = written(sets(df, active, id_col, text_col), "dedup-sets")
     stars = lists.join(lists.groupBy("token").agg(F.min("id").alias("a")), "token").where("a < id").groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
