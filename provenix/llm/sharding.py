@@ -6,8 +6,9 @@ the target bytes. Splits are found for all nodes of a level together, from histo
 are refined until the bin of the split is a small part of a shard; nothing but histograms of fixed
 size reaches the driver, and the tree of the number of shards is the only state.
 
-Documents of equal text share one point, so they stay in one shard, unless they hold more bytes than
-a small part of a shard: such a hot group is salted by row and may be split like anything else.
+Documents of equal text share one point, so they stay in one shard, and a cut that falls in a group
+goes to its nearer edge. Only a group of more than a quarter of a shard's bytes, which would spoil the
+balance, is salted by row and may be split like anything else.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ VALUE_BITS, GROUP_BITS, SALT_BITS = 20, 26, 16
 #: log2 of the bins of a histogram; the split may miss its place by this part of a shard's bytes.
 BIN_BITS, TOLERANCE = 10, 0.002
 #: Equal texts with more than this part of a shard's bytes may be split; rows of a numbering group.
-HOT, GROUP = 0.02, 4096
+HOT, GROUP = 0.25, 4096
 
 DIMENSIONS = ("_size", "_source", "_lang", "_id")
 
