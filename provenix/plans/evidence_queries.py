@@ -57,7 +57,7 @@ ev("plausible_datetime", "SELECT path, x_wall IS NOT NULL AS plausible FROM n")(
 ev("parse_offset", "SELECT path, offset_raw, x_off AS minutes FROM n")(lambda df: df.select("path", "offset_raw", time.parse_offset(c("offset_raw")).alias("minutes")))
 ev("iptc_datetime", "SELECT path, i_wall AS iso FROM n")(lambda df: df.select("path", time.normalize_iptc(c("iptc_date"), c("iptc_time"), "IPTC")["wall"].alias("iso")))
 ev("gps_datetime", "SELECT path, replace(substr(exif_raw, 1, 10), ':', '-') || 'T' || lpad((k % 30)::VARCHAR, 2, '0') || ':05:07Z' AS iso FROM n WHERE k < 98 AND k % 30 < 24")(
-    lambda df: df.where("k < 98").select("path", time.gps_datetime(F.substring("exif_raw", 1, 10), (c("k") % 30).cast("double"), F.lit(5.0), F.lit(7.9)).alias("iso")).where("iso is not null"))
+    lambda df: df.where("k <> 98").select("path", time.gps_datetime(F.substring("exif_raw", 1, 10), (c("k") % 30).cast("double"), F.lit(5.0), F.lit(7.9)).alias("iso")).where("iso is not null"))
 ev("collect_timestamps", """SELECT path, 'EXIF DateTimeOriginal' AS source, coalesce(x_utc, x_wall, exif_raw) AS shown FROM n UNION ALL SELECT path, 'XMP xmp:CreateDate', m_utc FROM n
   UNION ALL SELECT path, 'IPTC DateCreated/TimeCreated', coalesce(i_utc, i_wall) FROM n""")(
     lambda df: analyzed(df).select("path", F.explode("timestamps").alias("t")).select("path", "t.source", F.coalesce("t.value_utc", "t.wall", "t.raw").alias("shown")))
