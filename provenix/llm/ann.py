@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from provenix.llm.common import tune, written
+from provenix.llm.common import hot_keys, spread_join, tune, written
 
 #: Codebooks and codewords of each; partial sums kept in encoding; vectors trained on at most.
 BOOKS, WORDS, BEAM, SAMPLE = 16, 256, 8, 16_384
@@ -87,12 +87,10 @@ def train(sample: np.ndarray, books: int = BOOKS, n_words: int = WORDS, rounds:
 
 
 def usable(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, embedding as array<double>) of rows that take part: not null, not zero, all components finite, of the most frequent length."""
+    """(vec_id, embedding as array<double>, row, dims) of rows that take part: not null, not zero, all components finite."""
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
     good = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    rows = rows.where(F.col("vec_id").isNotNull() & F.coalesce(good, F.lit(False)))
-    sizes = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).first()
-    return rows.where(F.size("embedding") == F.lit(sizes["n"] if sizes else 0))
+    return rows.where(F.col("vec_id").isNotNull() & F.coalesce(good, F.lit(False))).withColumns({"row": F.monotonically_increasing_id(), "dims": F.size("embedding")})
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -101,22 +99,22 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def build(vectors: DataFrame, books: Codebooks) -> DataFrame:
-    """Index chunks: (chunk, ids, codes, scales), packed; scales are the vector's norm over its reconstruction's."""
+    """(vec_id, row, codes, scale) of each vector; scales are the vector's norm over its reconstruction's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column(1))
+            x = _matrix(batch.column(2))
             codes, squares = books.encode(x.astype(np.float32))
             scale = np.sqrt((x * x).sum(axis=1) / np.maximum(squares, 1e-300)).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale)], names=["vec_id", "codes", "scale"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale)], names=["vec_id", "row", "codes", "scale"])
 
-    return vectors.mapInArrow(run, "vec_id long, codes binary, scale float")
+    return vectors.select("vec_id", "row", "embedding").mapInArrow(run, "vec_id long, row long, codes binary, scale float")
 
 
 def _pack_chunks(key: tuple, table: pa.Table) -> pa.Table:
-    table = table.sort_by("vec_id")
-    ids, scales = (table.column(c).to_numpy() for c in ("vec_id", "scale"))
-    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()), "codes": pa.array([b"".join(table.column("codes").to_pylist())], pa.binary()), "scales": pa.array([scales.astype("<f4").tobytes()], pa.binary())})
+    table = table.sort_by([("vec_id", "ascending"), ("row", "ascending")])
+    packed = {name: table.column(c).to_numpy().astype(t).tobytes() for name, c, t in (("ids", "vec_id", "<i8"), ("rows", "row", "<i8"), ("scales", "scale", "<f4"))} | {"codes": b"".join(table.column("codes").to_pylist())}
+    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), **{n: pa.array([packed[n]], pa.binary()) for n in ("ids", "rows", "codes", "scales")}})
 
 
 def _pack_queries(table: pa.Table) -> pa.Table:
@@ -138,24 +136,25 @@ def _score(books: Codebooks, keep: int):
     """The best candidates of each query over all chunks that a group of rows (block, span) brings, one chunk in memory at a time."""
     dims = books.words.shape[2]
     flat = books.words.reshape(-1, dims).astype(np.float32)
+    nothing = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
 
     def made(now: dict) -> pa.RecordBatch:
-        n = [len(v) for v, _ in now["best"]]
+        n = [len(v) for v, _, _ in now["best"]]
         columns = [np.repeat(now["q_ids"], n), *(np.concatenate(x) for x in zip(*now["best"], strict=True))]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "approximate"])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "row", "approximate"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: dict = {}
         for batch in batches:
-            for row in batch.to_pylist():
-                if now.get("key") != (row["block"], row["span"]):
+            for given in batch.to_pylist():
+                if now.get("key") != (given["block"], given["span"]):
                     if now:
                         yield made(now)
-                    q_ids = np.frombuffer(row["q_ids"], "<i8")
-                    q = np.frombuffer(row["q_vectors"], "<f8").reshape(len(q_ids), dims).astype(np.float32)
-                    now = {"key": (row["block"], row["span"]), "q_ids": q_ids, "tables": q @ flat.T, "best": [(np.zeros(0, np.int64), np.zeros(0, np.float32))] * len(q_ids)}
-                ids, scales = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["scales"], "<f4")
-                places = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1).T.astype(np.int32) + np.arange(len(books.words), dtype=np.int32)[:, None] * books.words.shape[1]
+                    q_ids = np.frombuffer(given["q_ids"], "<i8")
+                    q = np.frombuffer(given["q_vectors"], "<f8").reshape(len(q_ids), dims).astype(np.float32)
+                    now = {"key": (given["block"], given["span"]), "q_ids": q_ids, "tables": q @ flat.T, "best": [nothing] * len(q_ids)}
+                ids, rows, scales = (np.frombuffer(given[c], t) for c, t in (("ids", "<i8"), ("rows", "<i8"), ("scales", "<f4")))
+                places = np.frombuffer(given["codes"], np.uint8).reshape(len(ids), -1).T.astype(np.int32) + np.arange(len(books.words), dtype=np.int32)[:, None] * books.words.shape[1]
                 for i, (query, table) in enumerate(zip(now["q_ids"], now["tables"], strict=True)):
                     scores = table[places[0]]
                     for at in places[1:]:
@@ -163,9 +162,9 @@ def _score(books: Codebooks, keep: int):
                     scores = scores * scales
                     top = best(np.where(ids == query, -np.inf, scores), ids, keep)
                     top = top[ids[top] != query]
-                    v, s = np.concatenate((now["best"][i][0], ids[top])), np.concatenate((now["best"][i][1], scores[top]))
+                    v, r, s = (np.concatenate((x, y[top])) for x, y in zip(now["best"][i], (ids, rows, scores), strict=True))
                     top = best(s, v, keep)
-                    now["best"][i] = v[top], s[top]
+                    now["best"][i] = v[top], r[top], s[top]
         if now:
             yield made(now)
 
@@ -182,37 +181,47 @@ def search(df: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id",
     """query_id, rank, vec_id, score: for each vector whose id is divisible by ``every`` the k nearest others found.
 
     Nearest is the largest inner product, in double precision; ties go to the smaller id. Vectors null,
-    zero, with null or non-finite components, of a null id or an unusual length take no part. Rows with
-    one id are candidates each, and never their own neighbours. With fewer candidates than k all are
-    returned; an empty table gives no rows.
+    zero, with null or non-finite components or of a null id take no part. A vector meets those of its
+    own length, as there is no inner product with others. Rows with one id are candidates each, and
+    never their own neighbours; the least vector of an id asks. With fewer candidates than k all are
+    returned; an empty table gives no rows. Other columns are not read.
     """
     spark = df.sparkSession
     tune(spark)
     vectors = written(usable(df, id_col, vector_col), "ann-vectors")
-    n = vectors.count()
-    if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    asked = written(vectors.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "ann-queries")
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for length in sorted(r["dims"] for r in vectors.select("dims").distinct().collect()):  # a row a length
+        out = out.union(_search(vectors.where(F.col("dims") == length), asked.where(F.size("embedding") == length), length, k))
+    return out
+
+
+def _search(vectors: DataFrame, asked: DataFrame, dims: int, k: int) -> DataFrame:
+    """search among vectors of one length."""
+    n, n_asked = vectors.count(), asked.count()
+    if not n_asked:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     part = max(1, math.ceil(n / SAMPLE))
     # a hash picks about SAMPLE vectors; the limit only guards the bound
-    sample = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(part)) == 0).orderBy("vec_id").limit(2 * SAMPLE).select("embedding").toArrow()
+    sample = vectors.where(F.pmod(F.xxhash64("vec_id", "row"), F.lit(part)) == 0).orderBy("vec_id", "row").limit(2 * SAMPLE).select("embedding").toArrow()
     if not sample.num_rows:
-        sample = vectors.orderBy("vec_id").limit(WORDS).select("embedding").toArrow()
+        sample = vectors.orderBy("vec_id", "row").limit(WORDS).select("embedding").toArrow()
     books = train(_matrix(sample.column(0)))
     chunks = max(1, math.ceil(n / VECTORS))
-    coded = build(vectors, books).withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int"))
-    coded = written(coded.groupBy("chunk").applyInArrow(_pack_chunks, "chunk int, ids binary, codes binary, scales binary"), "ann-index")
-    asked = vectors.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))  # of a repeated id one vector asks
-    blocks = max(1, math.ceil(n / every / QUERIES))
+    coded = build(vectors, books).withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(chunks)).cast("int"))
+    coded = written(coded.groupBy("chunk").applyInArrow(_pack_chunks, "chunk int, ids binary, rows binary, codes binary, scales binary"), "ann-index")
+    blocks = math.ceil(n_asked / QUERIES)
     blocks_of = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     packed = blocks_of.groupBy("block").applyInArrow(_pack_queries_with_block, "block int, q_ids binary, q_vectors binary")
     # every chunk of codes meets every block of queries: the stated query set against all rows, in blocks
     met = coded.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.floor(F.col("chunk") / SPAN).cast("int").alias("span"))
-    met = met.join(F.broadcast(packed) if blocks * QUERIES * books.words.shape[2] * 8 <= BROADCAST_BYTES else packed, "block").repartition("block", "span").sortWithinPartitions("block", "span")
-    found = met.select("block", "span", "ids", "codes", "scales", "q_ids", "q_vectors").mapInArrow(_score(books, RERANK * k), "query_id long, vec_id long, approximate float")
-    first = Window.partitionBy("query_id").orderBy(F.desc("approximate"), "vec_id")
-    found = found.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= RERANK * k).drop("_r", "approximate").distinct()
-    queries = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q"))
-    scored = found.join(vectors, "vec_id").join(queries, "query_id").select("query_id", "vec_id", "_q", "embedding").mapInArrow(_exact, "query_id long, vec_id long, score double")
+    met = met.join(F.broadcast(packed) if 8 * (dims + 1) * n_asked <= BROADCAST_BYTES else packed, "block").repartition("block", "span").sortWithinPartitions("block", "span")
+    found = met.select("block", "span", "ids", "rows", "codes", "scales", "q_ids", "q_vectors").mapInArrow(_score(books, RERANK * k), "query_id long, vec_id long, row long, approximate float")
+    first = Window.partitionBy("query_id").orderBy(F.desc("approximate"), "vec_id", "row")
+    found = written(found.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= RERANK * k).select("query_id", "row"), "ann-found")
+    popular = hot_keys(found.groupBy("row").agg(F.count("*").alias("_n")), "row", found.count(), "_n")
+    scored = spread_join(found, vectors.select("row", "vec_id", "embedding"), "row", "query_id", popular).join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q")), "query_id")
+    scored = scored.select("query_id", "vec_id", "_q", "embedding").mapInArrow(_exact, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenix.llm.common import tune
-from provenix.llm.pieces import Memo, byte_chars, claim, cutter
+from provenix.llm.memory import Memo, claim
+from provenix.llm.pieces import byte_chars, cutter
 
 #: Bounds of what a worker remembers.
 PIECES, PAIRS = 300_000, 300_000

@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from provenix.llm.common import words, written
+from provenix.llm.common import shielded, words, written
 
 #: Weights by rank of the source, repeating; budget as a part of all sizes; copies of a document at most.
 WEIGHTS, BUDGET, COPIES = (5, 2, 1), 1.5, 2
@@ -52,13 +52,14 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
     """doc_id, source, size, source_size, target, copies, taken (size * copies) of every row; ``row_col`` is passed on.
 
     Null texts have size 0; such rows are never copied, and take nothing. A null source is a source of
-    its own, ranked last. The order within a source is that of the md5 of seed and id, then id, then
-    size, so reruns agree whatever the partitions; repeated rows are taken one after the other.
+    its own, ranked last. The order within a source is that of the md5 of seed and id, then id, size and
+    a hash of the text, so reruns agree whatever the partitions; repeated rows are taken one after the
+    other. An empty table gives no rows; other columns are not read.
     """
     extra = {row_col: F.col(f"`{row_col}`")} if row_col else {}
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
     rows = df.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size"), key.alias("key"),
+        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size"), key.alias("key"), F.xxhash64(F.col(text_col)).alias("tie"),
         *(c.alias(n) for n, c in extra.items()),
     )
     rows = written(rows, "mix-rows")
@@ -68,7 +69,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
     rows = rows.withColumn("range", (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * ranges / F.lit(2.0**32)).cast("long"))
 
     group = Window.partitionBy("source", "range")
-    inner = rows.withColumn("within", F.sum("size").over(group.orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)))
+    inner = rows.withColumn("within", F.sum("size").over(group.orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)))
     totals = rows.groupBy("source", "range").agg(F.sum("size").alias("total"))
     by_range = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(F.col("source").alias("_s"), F.col("range").alias("_r"), F.coalesce(F.sum("total").over(by_range), F.lit(0)).alias("_start"))
@@ -95,20 +96,22 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
     return timed.select(*extra, "doc_id", "source", "size", "source_size", "target", n.alias("copies"), (F.col("size") * n).alias("taken"))
 
 
-def mixed(df: DataFrame, **columns: str) -> DataFrame:
-    """Every row as many times as the mix takes it, with its columns.
+def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options: object) -> DataFrame:
+    """Every row as many times as the mix takes it, with its columns, whatever their names.
 
-    Rows are known by their place in the files they are read from, or else in a written copy.
+    Rows are known by their place in the files they are read from, or else in a written copy. Rows that
+    mix gives no words, those without text or words too, are left out; an empty table gives no rows.
     """
+    rows, name, back = shielded(df)
+    place = (F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
     try:
-        rows = df.select("*", F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+        rows = rows.select("*", *place)
     except AnalysisException:  # not read from files directly
-        rows = written(df.withColumns({"_file": F.lit(0).cast("long"), "_place": F.monotonically_increasing_id()}), "mix-copy")
-    taken = mix(rows.withColumn("_row", F.struct("_file", "_place")), row_col="_row", **columns).where("copies > 0")
-    taken = written(taken.select(F.col("_row._file").alias("_f"), F.col("_row._place").alias("_p"), "copies"), "mix-taken")
+        rows = written(rows, "mix-copy").select("*", *place)
+    taken = mix(rows.withColumn("_row", F.struct("_file", "_place")), name[id_col], name[source_col], name[text_col], row_col="_row", **options).where("copies > 0")
+    taken = written(taken.select("_row._file", "_row._place", "copies"), "mix-taken")
     taken = F.broadcast(taken) if taken.count() <= BROADCAST_TAKEN else taken
-    again = rows.join(taken, (F.col("_file") == F.col("_f")) & (F.col("_place") == F.col("_p"))).withColumn("_copy", F.explode(F.expr("sequence(1, copies)")))
-    return again.select(*(F.col(f"`{c}`") for c in df.columns))
+    return back(rows.join(taken, ["_file", "_place"]).withColumn("_copy", F.explode(F.expr("sequence(1, copies)"))))
 
 
 ORACLE = """

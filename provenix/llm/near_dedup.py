@@ -1,25 +1,26 @@
 """MinHash near-dedup by a signature-coordinate inverted join.
 
-A text's set of word shingles has a signature of COORDINATES MinHash values. Every document is posted
-under each (coordinate, value). Two texts whose sets agree by the threshold collide on at least
-least_matches(percent) coordinates but for a chance of MISS at most (1.5e-7 at 38 matches for 0.85,
-8.2e-8 at 33 for 0.80), so, with each document's postings in one global order, rarest first, they meet
-within the first (shared - least + 1) of their shared postings (prefix): only those lists are merged,
-and a document with fewer shared postings than that is skipped altogether. What many unrelated documents share, like a licence text, has
-long lists, which come last and are hardly ever merged.
-
-Long lists are never expanded into all pairs. Equal sets are one representative first. Then each
-document is compared with the least document of its lists (a star), which joins groups of near copies.
-Lists that still hold several components are merged further. Short ones, of SHORT documents at most,
-give pairs whose collisions over the whole signature are counted; those above the match threshold are
-confirmed on full sets. Long ones are dealt into blocks of bounded size, and two blocks meet in one
-task with their full sets, which returns no more than one link for each document that it joins.
+A text's set of word shingles has a signature of COORDINATES MinHash values of 64 bits. Every document
+is posted under each (coordinate, value). Two texts whose sets agree by the threshold collide on at
+least least_matches(percent) coordinates but for a chance of MISS at most (1.5e-7 at 38 matches for
+0.85, 8.2e-8 at 33 for 0.80), so, with each document's postings in one global order, rarest first, they
+meet within the first (shared - least + 1) of their shared postings (prefix): only those lists are
+merged, and a document with fewer shared postings than that is skipped altogether. What many unrelated
+documents share, like a licence text, has long lists, which come last and are hardly ever merged.
+
+Pairs are never expanded within a group that is known to be one. Equal sets are one representative
+first. Then each document is compared with the least document of its lists (a star), which joins groups
+of near copies. Lists that still hold several components are merged: their signatures are dealt into
+blocks of bounded size, two blocks meet in one task, and collisions are counted over the whole
+signature. The first merge returns no more pairs than join the components it sees (a forest); the
+second, over what is open after those are confirmed, returns every pair above the match threshold that
+is in different components. All links are confirmed on full sets.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from math import comb
 
@@ -29,18 +30,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenix.llm.common import tune, written
-from provenix.llm.pieces import Memo, claim
+from provenix.llm.common import drop_table, hot_keys, located, spread_join, tune, written
+from provenix.llm.memory import Memo, claim
 
 COORDINATES, SHINGLE = 64, 5
 #: Chance that two sets at the threshold's similarity miss the match threshold, at most.
 MISS = 2e-7
-#: Words whose hashes a worker remembers; shingles hashed at a time; rows of an Arrow batch that holds sets.
-KEPT, CHUNK, ROWS = 200_000, 2048, 256
-#: A list of more documents is merged by blocks; documents in a block; columns of shingles counted at a time.
-SHORT, BLOCK, COLUMNS = 32, 512, 4096
-#: Ids of documents whose sets are needed go to every executor up to so many (8 bytes each); beyond, documents are joined by shuffle.
-BROADCAST_IDS = 2_000_000
+#: Words whose hashes a worker remembers; shingles hashed at a time.
+KEPT, CHUNK = 100_000, 2048
+#: Documents of a list that are one block: a task holds the signatures of two blocks (4 bytes a coordinate).
+BLOCK = 2048
+#: Places of documents whose sets are needed go to every executor up to so many (8 bytes each); beyond, texts are joined by shuffle.
+BROADCAST_PLACES = 1_000_000
 
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -51,10 +52,10 @@ def _words() -> Memo:
 
 
 @lru_cache(maxsize=4)
-def _family(coordinates: int) -> tuple[np.ndarray, np.ndarray]:
-    """Multipliers and addends of the hash functions, from a rule."""
-    draw = lambda i, s: xxhash.xxh64_intdigest(i.to_bytes(8, "little"), s)
-    return np.array([draw(i, 1) | 1 for i in range(coordinates)], np.uint64), np.array([draw(i, 2) for i in range(coordinates)], np.uint64)
+def _family(coordinates: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Multipliers and addends of the hash functions, and a mark of each coordinate, from a rule."""
+    draw = lambda s: np.array([xxhash.xxh64_intdigest(i.to_bytes(8, "little"), s) for i in range(coordinates)], np.uint64)
+    return draw(1) | np.uint64(1), draw(2), draw(3)
 
 
 @lru_cache(maxsize=8)
@@ -83,61 +84,75 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
 
 
 def signature(items: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
-    a, b = _family(coordinates)
-    out = np.full(coordinates, 0xFFFFFFFF, np.uint32)
+    """The least 64-bit value of each hash function."""
+    a, b, _ = _family(coordinates)
+    out = np.full(coordinates, np.iinfo(np.uint64).max, np.uint64)
     for lo in range(0, len(items), CHUNK):
-        values = ((items[lo : lo + CHUNK, None] * a + b) >> np.uint64(32)).astype(np.uint32)
+        values = items[lo : lo + CHUNK, None] * a
+        values += b
         np.minimum(out, values.min(axis=0), out=out)
     return out
 
 
+def tokens(signatures: np.ndarray) -> np.ndarray:
+    """A 64-bit number of each (coordinate, value): values of one coordinate never share one, and those of two only by chance."""
+    out = (signatures ^ _family(COORDINATES)[2]) * _ODD[0]
+    out ^= out >> np.uint64(29)
+    out *= _ODD[1]
+    return out.view(np.int64)
+
+
 def _set_hash(items: np.ndarray) -> bytes | None:
     return hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None
 
 
-def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n (set size), set_hash and sig (both binary, null without words) of each row, and its columns named in carry."""
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, COORDINATES)
+
+
+def sketches(rows: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, _at, n (set size), set_hash and sig (both binary, null without words) of rows (doc_id, _at, text), and their columns named in carry."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("near-dedup", _words.cache_clear)
         for batch in batches:
             n, hashes, sigs = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 items = shingles(text)
                 n.append(len(items))
                 hashes.append(_set_hash(items))
                 sigs.append(signature(items).tobytes() if len(items) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hashes, pa.binary()), pa.array(sigs, pa.binary()), *batch.columns[2:]], names=["doc_id", "n", "set_hash", "sig", *carry])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(hashes, pa.binary()), pa.array(sigs, pa.binary()), *batch.columns[3:]], names=["doc_id", "_at", "n", "set_hash", "sig", *carry])
 
-    schema = ", ".join(["doc_id long, n long, set_hash binary, sig binary", *(f"{x} {df.schema[x].dataType.simpleString()}" for x in carry)])
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry).mapInArrow(run, schema)
+    schema = ", ".join(["doc_id long, _at long, n long, set_hash binary, sig binary", *(f"`{x}` {rows.schema[x].dataType.simpleString()}" for x in carry)])
+    return rows.select("doc_id", "_at", "text", *carry).mapInArrow(run, schema)
 
 
-def sets(df: DataFrame, needed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, items): the full set of each needed class (id, doc_id, set_hash), from the texts again."""
+def sets(rows: DataFrame, needed: DataFrame) -> DataFrame:
+    """(id, items): the full set of each needed class (id, at, set_hash), from the text at its place again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("near-dedup", _words.cache_clear)
         for batch in batches:
-            items = [shingles(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([_set_hash(x) for x in items], pa.binary()), pa.array([x.tobytes() for x in items], pa.binary())], names=["h", "items"])
+            ids, out = [], []
+            for i, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                items = shingles(text)
+                if _set_hash(items) == wanted:  # places are known by a hash; another row's text isn't the class's
+                    ids.append(i)
+                    out.append(items.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["id", "items"])
 
-    ids = needed.select(F.col("doc_id").alias("_needed")).distinct()
-    ids = F.broadcast(ids) if needed.count() <= BROADCAST_IDS else ids
-    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    texts = texts.join(ids, texts["doc_id"].eqNullSafe(F.col("_needed")), "left_semi")
-    found = texts.mapInArrow(run, "h binary, items binary").join(needed.select("id", "set_hash"), F.col("h") == F.col("set_hash"))
-    return found.groupBy("id").agg(F.first("items").alias("items"))  # of several rows with one set, any
+    places = needed.select(F.col("at").alias("_at"), "id", "set_hash")
+    places = F.broadcast(places) if needed.count() <= BROADCAST_PLACES else places
+    return rows.select("_at", "text").join(places, "_at").select("id", "text", "set_hash").mapInArrow(run, "id long, items binary")
 
 
 def postings(reps: DataFrame) -> DataFrame:
-    """(id, token) of representatives: coordinate and value in one long."""
+    """(id, token) of representatives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = np.arange(COORDINATES, dtype=np.int64) << 32
         for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, COORDINATES)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), COORDINATES)), pa.array((sig + base).ravel())], names=["id", "token"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), COORDINATES)), pa.array(tokens(_signatures(batch.column(1))).ravel())], names=["id", "token"])
 
     return reps.select("id", "sig").mapInArrow(run, "id long, token long")
 
@@ -145,70 +160,140 @@ def postings(reps: DataFrame) -> DataFrame:
 def prefixes(reps: DataFrame, least: int) -> DataFrame:
     """(id, token) of the lists that have to be merged."""
     posted = postings(reps)
-    shared = posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    held = posted.join(shared, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"))  # COORDINATES at most
+    shared = written(posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "dedup-shared")
+    hot = hot_keys(shared, "token", COORDINATES * reps.count(), "df")
+    held = spread_join(posted, shared, "token", "id", hot).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"))  # COORDINATES at most
     held = held.where(F.size("held") >= least)
     return held.select("id", F.explode(F.slice("held", F.lit(1), F.size("held") - least + 1)).alias("p")).select("id", F.col("p.token").alias("token"))
 
 
-def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) those with 100 * intersection >= percent * union, on full sets."""
+def _both(pairs: DataFrame, side: DataFrame) -> DataFrame:
+    """Pairs (a, b), a written table, with the columns of side (one row an id) of both, as _a* and _b*. An id that many pairs share is dealt to several tasks."""
+    n = pairs.count()
+    hot = {k: hot_keys(pairs.groupBy(k).agg(F.count("*").alias("_n")), k, n, "_n") for k in "ab"}
+    for k, other in (("a", "b"), ("b", "a")):
+        named = side.select(F.col("id").alias(k), *(F.col(c).alias(f"_{k}_{c}") for c in side.columns if c != "id"))
+        pairs = spread_join(pairs, named, k, other, hot[k])
+    return pairs
+
+
+def _filtered(pairs: DataFrame, columns: list[str], keep: Callable[[list[pa.Array]], np.ndarray]) -> DataFrame:
+    """The pairs (a, b) whose columns pass ``keep``, a batch at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+            mask = pa.array(keep(batch.columns[2:]), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    left, right = (full.select(F.col("id").alias(k), F.col("items").alias(f"_{k}")) for k in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", *columns).mapInArrow(run, "a long, b long")
 
 
-def matching(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) those whose signatures agree on enough coordinates and whose sizes allow a link."""
-    least = least_matches(percent)
+def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Of written pairs (a, b) those with 100 * intersection >= percent * union, on full sets."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, COORDINATES) for i in (2, 3))
-            keep = pa.array((x == y).sum(axis=1) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+    def keep(columns: list[pa.Array]) -> np.ndarray:
+        ok = []
+        for x, y in zip(*columns, strict=True):
+            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
+            ok.append(100 * both >= percent * (len(x) + len(y) - both))
+        return np.array(ok, bool)
 
-    left, right = (reps.select(F.col("id").alias(k), F.col("sig").alias(f"_{k}"), F.col("n").alias(f"_n{k}")) for k in "ab")
-    both = pairs.join(left, "a").join(right, "b").where(f"100 * least(_na, _nb) >= {percent} * greatest(_na, _nb)")
-    return both.select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long")
+    return _filtered(_both(pairs, full), ["_a_items", "_b_items"], keep)
+
+
+def matching(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Of written pairs (a, b) those whose signatures agree on enough coordinates and whose sizes allow a link."""
+    least = least_matches(percent)
+    keep = lambda columns: (_signatures(columns[0]) == _signatures(columns[1])).sum(axis=1) >= least
+    both = _both(pairs, reps.select("id", "sig", "n")).where(f"100 * least(_a_n, _b_n) >= {percent} * greatest(_a_n, _b_n)")
+    return _filtered(both, ["_a_sig", "_b_sig"], keep)
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
-    """(id, label) of every id in edges (a, b): the least id that it reaches. Least labels go along edges and through labels until none changes; each round is a written table."""
+    """(id, label) of every id in edges (a, b): the least id that it reaches. Least labels go along edges and through labels until none changes; each round is a written table that takes the place of the one before."""
     both = written(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct(), f"{name}-edges")
-    labels = written(both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m")).select("id", F.least("id", "m").alias("label")), f"{name}-labels")
+    hot = hot_keys(both.groupBy("v").agg(F.count("*").alias("_n")), "v", both.count(), "_n")
+    held = labels = written(both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m")).select("id", F.least("id", "m").alias("label")), f"{name}-labels")
     while True:
-        near = both.join(labels, both["v"] == labels["id"]).groupBy("u").agg(F.min("label").alias("near"))
+        near = spread_join(both, labels.withColumnRenamed("id", "v"), "v", "u", hot).groupBy("u").agg(F.min("label").alias("near"))
         new = labels.join(near, labels["id"] == near["u"]).select("id", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        root = labels.select(F.col("id").alias("_r"), F.col("label").alias("far"))
-        new = written(new.join(root, new["label"] == root["_r"]).select("id", F.least("label", "far").alias("label"), "old"), f"{name}-labels")
-        if not new.where("label <> old").limit(1).count():
-            return new.select("id", "label")
-        labels = new.select("id", "label")
-
-
-def _links(percent: int):
-    """Links between two blocks of a list, or within one: those that join components, on full sets."""
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        same = key[1] == key[2]
-        ids, blocks, labels = (table.column(c).to_numpy() for c in ("id", "block", "label"))
-        items = [np.frombuffer(v.as_buffer(), np.uint64) for v in table.column("items")]
-        n = np.array([len(x) for x in items], np.int64)
-        left = np.flatnonzero(blocks == key[1].as_py())
-        right = left if same else np.flatnonzero(blocks == key[2].as_py())
-        both = _intersections(items, left, right)
-        linked = 100 * both >= percent * (n[left][:, None] + n[right][None, :] - both)
+        new = written(new, f"{name}-near")
+        roots = hot_keys(new.groupBy("label").agg(F.count("*").alias("_n")), "label", new.count(), "_n")
+        far = spread_join(new, labels.select(F.col("id").alias("label"), F.col("label").alias("far")), "label", "id", roots)
+        jumped = written(far.select("id", F.least("label", "far").alias("label"), "old"), f"{name}-labels")
+        drop_table(new)
+        drop_table(held)
+        held, labels = jumped, jumped.select("id", "label")
+        if not jumped.where("label <> old").limit(1).count():
+            drop_table(both)
+            return labels
+
+
+def merged(labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """(id, label) after more links (a, b), a written table: components of the old labels are joined. Ids that had no label are their own."""
+    if not links.limit(1).count():
+        return labels
+    ends = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
+    known = written(labels.union(ends.join(labels, "id", "left_anti").select("id", F.col("id").alias("label"))), f"{name}-known")
+    a, b = (known.select(F.col("id").alias(k), F.col("label").alias(f"_{k}")) for k in "ab")
+    between = links.join(a, "a").join(b, "b").where("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct()
+    more = components(written(between, f"{name}-between"), name).withColumnRenamed("label", "_new").withColumnRenamed("id", "label")
+    hot = hot_keys(known.groupBy("label").agg(F.count("*").alias("_n")), "label", known.count(), "_n")
+    return written(spread_join(known, more, "label", "id", hot, "left").select("id", F.coalesce("_new", "label").alias("label")), f"{name}-merged")
+
+
+def open_lists(lists: DataFrame, labels: DataFrame, hot: list) -> DataFrame:
+    """(token, id, label, size) of the lists that hold several components; ``hot`` are the tokens of very long lists."""
+    known = lists.select("id", "token").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    several = known.groupBy("token").agg(F.min("label").alias("_x"), F.max("label").alias("_y"), F.count("*").alias("size")).where("_x <> _y").select("token", "size")
+    return spread_join(known, several, "token", "id", hot).select("token", "id", "label", "size")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray | pa.Array]]:
+    """The columns of each run of rows that agree on the first ``keys`` columns, from batches sorted by them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if held:
+            batch = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
+        if not batch.num_rows:
+            continue
+        marks = [batch.column(i).to_numpy() for i in range(keys)]
+        cuts = np.flatnonzero(np.logical_or.reduce([m[1:] != m[:-1] for m in marks])) + 1
+        for lo, hi in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=False):
+            yield batch.slice(lo, hi - lo)
+        held = [batch.slice(int(cuts[-1]) if len(cuts) else 0)]
+    if held:
+        yield held[0]
+
+
+def _agreeing(x: np.ndarray, y: np.ndarray, least: int) -> np.ndarray:
+    """Which rows of x and of y agree on at least so many columns."""
+    if len(x) * len(y) <= 4096:
+        return (x[:, None, :] == y[None, :, :]).sum(axis=2) >= least
+    count = np.zeros((len(x), len(y)), np.uint8)
+    for c in range(x.shape[1]):
+        count += x[:, c, None] == y[None, :, c]
+    return count >= least
+
+
+def _merge(percent: int, forest: bool):
+    """Pairs (a, b), a < b, of different components within two blocks (or one) that agree on enough coordinates; of a forest, only those that join components."""
+    least = least_matches(percent)
+
+    def pairs(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        low, high = rows.column(1)[0].as_py(), rows.column(2)[0].as_py()
+        blocks, ids, labels, n = (rows.column(i).to_numpy() for i in range(3, 7))
+        codes = np.frombuffer(b"".join(rows.column(7).to_pylist()), np.uint32).reshape(len(ids), COORDINATES)
+        left = np.flatnonzero(blocks == low)
+        right = left if low == high else np.flatnonzero(blocks == high)
+        near = _agreeing(codes[left], codes[right], least) & (labels[left][:, None] != labels[right][None, :])
+        near &= 100 * np.minimum(n[left][:, None], n[right][None, :]) >= percent * np.maximum(n[left][:, None], n[right][None, :])
+        if low == high:
+            near = np.triu(near)
+        if not forest:
+            i, j = np.nonzero(near)
+            return ids[left[i]], ids[right[j]]
         parent = {x: x for x in labels.tolist()}
 
         def root(x: int) -> int:
@@ -216,57 +301,48 @@ def _links(percent: int):
                 parent[x] = x = parent[parent[x]]
             return x
 
-        out = []
-        for i, row in zip(left.tolist(), linked, strict=True):
-            near = right[row]
-            for label, first in zip(*np.unique(labels[near], return_index=True), strict=True):
-                x, y = root(int(labels[i])), root(int(label))
+        a, b = [], []
+        for i in np.flatnonzero(near.any(axis=1)).tolist():
+            others = right[near[i]]
+            for label, first in zip(*np.unique(labels[others], return_index=True), strict=True):
+                x, y = root(int(labels[left[i]])), root(int(label))
                 if x != y:
                     parent[max(x, y)] = min(x, y)
-                    out.append((int(ids[i]), int(ids[near[first]])))
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
-
-    return run
-
-
-def _intersections(items: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of sets, left by right; shingles that only one set holds are left out first."""
-    every = np.concatenate(items)
-    owner = np.repeat(np.arange(len(items)), [len(x) for x in items])
-    _, code, count = np.unique(every, return_inverse=True, return_counts=True)
-    shared = count > 1
-    number = np.cumsum(shared) - 1
-    keep = shared[code]
-    column, owner = number[code[keep]], owner[keep]
-    out = np.zeros((len(left), len(right)), np.float32)
-    for lo in range(0, int(shared.sum()), COLUMNS):
-        now = (column >= lo) & (column < lo + COLUMNS)
-        grid = np.zeros((len(items), COLUMNS), np.float32)
-        grid[owner[now], column[now] - lo] = 1
-        out += grid[left] @ grid[right].T
-    return out.astype(np.int64)
+                    a.append(ids[left[i]])
+                    b.append(ids[others[first]])
+        return np.array(a, np.int64), np.array(b, np.int64)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size = [], 0
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(f([x for x, _ in found], [y for _, y in found])) for f in (lambda x, y: np.minimum(np.concatenate(x), np.concatenate(y)), lambda x, y: np.maximum(np.concatenate(x), np.concatenate(y)))], names=["a", "b"])
+        for rows in _groups(batches, 3):
+            pair = pairs(rows)
+            if len(pair[0]):
+                found.append(pair)
+                size += len(pair[0])
+            if size > 10_000:
+                yield made()
+                found, size = [], 0
+        if found:
+            yield made()
 
-def open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """(id, token, label, size) of the lists that hold several components."""
-    known = lists.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    several = known.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).where("x <> y").select("token", "size")
-    return known.join(several, "token")
+    return run
 
 
-def short_pairs(opened: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components in lists of SHORT documents at most."""
-    short = opened.where(F.col("size") <= SHORT)
-    left, right = (short.select("token", F.col("id").alias(k), F.col("label").alias(f"_{k}")) for k in "ab")
-    return left.join(right, (left["token"] == right["token"]) & (F.col("a") < F.col("b")) & (F.col("_a") != F.col("_b"))).select("a", "b").distinct()
+def candidates(opened: DataFrame, reps: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Pairs (a, b) of different components in open lists that agree on enough coordinates (see _merge)."""
 
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # 32 bits of a token are enough to count with: agreeing by chance only makes a candidate
+            codes = tokens(_signatures(batch.column(2))).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in codes], pa.binary())], names=["id", "n", "codes"])
 
-def long_links(opened: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components in longer lists."""
-    dealt = opened.where(F.col("size") > SHORT).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))  # a block meets every block of its list once
-    met = dealt.join(full, "id").select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "block", "label", "items")
-    return met.groupBy("token", "low", "high").applyInArrow(_links(percent), "a long, b long")
+    codes = reps.join(opened.select("id").distinct(), "id", "left_semi").select("id", "n", "sig").mapInArrow(folded, "id long, n long, codes binary")
+    met = opened.join(codes, "id").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))  # a block meets every block of its list once
+    met = met.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "label", "n", "codes")
+    met = met.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
+    return met.mapInArrow(_merge(percent, forest), "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -277,23 +353,34 @@ def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", te
     name a component unless all of it has none; then its id is null and its rows are kept. An empty
     table gives no rows; of other columns only those named in carry are read, and returned with their row.
     """
-    tune(df.sparkSession, ROWS)
-    rows = written(sketches(df, id_col, text_col, carry), "dedup-sketches")
-    classes = rows.where("set_hash is not null").groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    tune(df.sparkSession)
+    least = least_matches(percent)
+    docs = located(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry))
+    rows = written(sketches(docs, carry), "dedup-sketches")
+    classes = rows.where("set_hash is not null").groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"), F.min("_at").alias("at"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("n_rows"))
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "dedup-classes")
-    lists = written(prefixes(classes, least_matches(percent)), "dedup-lists")
+    lists = written(prefixes(classes, least), "dedup-lists")
+    sizes = written(lists.groupBy("token").agg(F.count("*").alias("df"), F.min("id").alias("a")), "dedup-sizes")
+    long_lists = hot_keys(sizes, "token", lists.count(), "df")
     active = written(classes.join(lists.select("id").distinct(), "id", "left_semi"), "dedup-active")
-    full = written(sets(df, active, id_col, text_col), "dedup-sets")
-    stars = lists.join(lists.groupBy("token").agg(F.min("id").alias("a")), "token").where("a < id").groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
-    stars = written(matching(stars, active, percent), "dedup-stars")
-    links = written(confirmed(stars, full, percent), "dedup-links")
-    opened = written(open_lists(lists, components(links, "dedup-star")), "dedup-open")
-    others = matching(short_pairs(opened).join(stars, ["a", "b"], "left_anti"), active, percent)
-    links = links.union(confirmed(others, full, percent)).union(long_links(opened, full, percent))
-    labels = components(links, "dedup")
+    full = written(sets(docs, active), "dedup-sets")
+    # the star: each document against the least one of its lists
+    stars = spread_join(lists, sizes.select("token", "a"), "token", "id", long_lists).where("a < id").groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
+    stars = written(matching(written(stars, "dedup-pairs"), active, percent), "dedup-stars")
+    labels = components(written(confirmed(stars, full, percent), "dedup-links"), "dedup-star")
+    # a forest of what the lists still hold apart, then all that is left
+    opened = written(open_lists(lists, labels, long_lists), "dedup-open")
+    tree = written(candidates(opened, active, percent, forest=True).join(stars, ["a", "b"], "left_anti"), "dedup-tree")
+    labels = merged(labels, written(confirmed(tree, full, percent), "dedup-links"), "dedup-tree")
+    opened = written(open_lists(opened, labels, long_lists), "dedup-open")
+    rest = candidates(opened, active, percent, forest=False).join(stars.union(tree), ["a", "b"], "left_anti")
+    labels = merged(labels, written(confirmed(written(rest, "dedup-rest"), full, percent), "dedup-links"), "dedup-rest")
+    # names of components, and back to the rows
     heads = classes.select("id", "set_hash", "doc_id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     names = heads.groupBy("label").agg(F.min("doc_id").alias("_component"))
-    heads = heads.join(names, "label").select(F.col("set_hash").alias("_set"), "_component")
-    out = rows.join(heads, rows["set_hash"] == F.col("_set"), "left")
+    big = hot_keys(labels.groupBy("label").agg(F.count("*").alias("_n")), "label", classes.count(), "_n")
+    heads = spread_join(heads, names, "label", "id", big).select("set_hash", "_component")
+    copied = hot_keys(classes, "set_hash", rows.count(), "n_rows")
+    out = spread_join(rows, heads, "set_hash", "_at", copied, "left")
     component = F.when(F.col("set_hash").isNull(), F.col("doc_id")).otherwise(F.col("_component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), *carry)

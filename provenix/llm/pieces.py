@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import json
 import re
 from functools import lru_cache
@@ -12,7 +11,7 @@ import regex
 from tokenizers import Tokenizer
 
 #: Blocks whose letters, digits and spaces the `regex` module and the tokenizers library class alike
-#: (tests/llm/test_tokens.py goes through every code point). Texts with others are cut by the library.
+#: (tests/llm/test_operators.py goes through every code point). Texts with others are cut by the library.
 AGREED = "\\u0000-\\u052F\\u1E00-\\u208E\\u2100-\\u218B\\u2190-\\u23FF\\u2500-\\u27BF\\u3000-\\u303F\\u3041-\\u3096\\u30A0-\\u30FF\\u4E00-\\u9FEF\\uAC00-\\uD7A3\\uFF01-\\uFF5E\\U0001F300-\\U0001F64F"
 _FOREIGN = re.compile(f"[^{AGREED}]")
 
@@ -58,34 +57,6 @@ class Cutter:
         return [(x in self.specials, x) for x in self._split.split(text) if x]
 
 
-_held: list = []
-
-
-def claim(owner: str, *forget) -> None:
-    """What a worker remembers for one operator is forgotten once another one runs in it: ``forget`` are calls that drop it."""
-    if not _held or _held[0] != owner:
-        for drop in _held[1:]:
-            drop()
-        _held[:] = [owner, *forget]
-        gc.collect()
-
-
-class Memo(dict):
-    """A bounded memory of pieces; ``make`` gives what is missing. Long pieces are not kept."""
-
-    def __init__(self, make, entries: int = 400_000, longest: int = 64):
-        super().__init__()
-        self.make, self.entries, self.longest = make, entries, longest
-
-    def __missing__(self, piece):
-        value = self.make(piece)
-        if len(piece) <= self.longest:
-            if len(self) >= self.entries:
-                self.clear()
-            self[piece] = value
-        return value
-
-
 @lru_cache(maxsize=2)
 def cutter(path: str) -> Cutter:
     return Cutter(path)

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenix.llm.common import let, words, written
+from provenix.llm.common import let, shielded, words, written
 
 #: False rejections allowed for a signal in a stratum; overall chance to exceed any; least share of bad labels found.
 RISK, DELTA, POWER = 0.0125, 0.05, 0.05
@@ -37,18 +37,21 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_r
 
 
 def repeated_words(ws: Column) -> Column:
-    """Words in 3-word windows found twice or more: windows are compared by a 64-bit hash of their words, and only texts where two agree are looked at further."""
+    """Words in 3-word windows found twice or more. Windows whose 64-bit hashes agree are few, and are compared by their words."""
 
-    def covered(marks: Column) -> Column:
-        ordered = F.array_sort(marks)  # (hash, place)
-        twice = let(ordered, lambda o: F.filter(o, lambda x, i: (x["h"] == F.get(o, i + 1)["h"]) | ((i > 0) & (x["h"] == F.get(o, i - 1)["h"]))))
-        places = F.sort_array(F.transform(twice, lambda x: x["i"]))
+    def twice(marks: Column, key: str) -> Column:
+        """Those that agree on the key with another one, sorted by it."""
+        return let(F.array_sort(marks), lambda o: F.filter(o, lambda x, i: (x[key] == F.get(o, i + 1)[key]) | ((i > 0) & (x[key] == F.get(o, i - 1)[key]))))
+
+    def covered(w: Column, marks: Column) -> Column:
+        spelled = F.transform(twice(marks, "h"), lambda x: F.struct(F.array_join(F.slice(w, x["i"] + 1, F.lit(3)), " ").alias("words"), x["i"].alias("i")))
+        places = F.sort_array(F.transform(twice(spelled, "words"), lambda x: x["i"]))
         # each window covers three words, or as many as the next one's start leaves
         return let(places, lambda p: F.aggregate(p, F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")), lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(3), x - a["last"])).alias("n")), lambda a: a["n"]))
 
     def of(w: Column) -> Column:
         hashes = F.slice(F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))), F.lit(1), F.greatest(F.size(w) - 2, F.lit(0)))
-        return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
+        return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(w, F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
 
     return F.when(F.size(ws) < 4, F.lit(0)).otherwise(let(ws, of))
 
@@ -125,12 +128,18 @@ def judged(rows: DataFrame, cuts: DataFrame, stratum_col: str = "lang") -> DataF
 
 
 def passing(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum_col: str = "lang", text_col: str = "text", **limits: float) -> DataFrame:
-    """The rows that are kept, with their columns. Only labelled texts are measured for the cutoffs; ids of labels go to every executor if they are few."""
+    """The rows that are kept, with their columns, whatever their names.
+
+    Null texts have no words and go; a null language is a stratum of its own; an empty table or one
+    without labels has no cutoffs, only the base rules. Repeated rows are judged alike. Only labelled
+    texts are measured for the cutoffs; ids of labels go to every executor if they are few.
+    """
+    rows, name, back = shielded(df)
     given = usable_labels(labels)
     known = F.broadcast(given) if given.count() <= BROADCAST_LABELS else given
-    holdout = measured(df.join(known, F.col(id_col) == F.col("_label_id")), text_col)
-    cuts = cutoffs(holdout, stratum_col, **limits)
-    return judged(measured(df, text_col), cuts, stratum_col).where("kept").select(*(F.col(f"`{c}`") for c in df.columns))
+    holdout = measured(rows.join(known, F.col(name[id_col]) == F.col("_label_id")), name[text_col])
+    cuts = cutoffs(holdout, name[stratum_col], **limits)
+    return back(judged(measured(rows, name[text_col]), cuts, name[stratum_col]).where("kept"))
 
 
 def digest(df: DataFrame, labels: DataFrame, **limits: float) -> DataFrame:

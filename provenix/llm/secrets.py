@@ -2,7 +2,7 @@
 
 From each rule's regular expression a Boolean query over trigrams is derived that every match must
 satisfy: a list of clauses, each a set of trigrams that must all occur (letters in lower case). The
-index holds postings (trigram, document) of the trigrams that queries mention. Intersecting them gives
+index holds postings (trigram, document) of the trigrams that queries mention; a document is known by the place of its row. Intersecting them gives
 each rule's candidates, and only candidates are verified with the expression itself. A rule whose
 query is empty, as it can match without any fixed trigram, scans every text.
 """
@@ -16,11 +16,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenix.llm.common import let, written
+from provenix.llm.common import let, located, shielded, written
 
 #: A set of alternatives is followed exactly up to so many strings.
 EXACT = 64
-#: Candidates go to every executor up to so many (16 bytes each); beyond, they are joined by shuffle.
+#: Candidates go to every executor up to so many (16 bytes each); beyond, they are joined by shuffle, by the place of their row, which no two rows share.
 BROADCAST_HITS = 1_000_000
 
 
@@ -110,7 +110,7 @@ def trigram_query(pattern: str) -> Clauses:
 
 
 def postings(df: DataFrame, trigrams: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(trigram, doc_id) of the given trigrams, found in texts in lower case."""
+    """(trigram, doc_id) of the given trigrams, found in texts in lower case; any column may name the documents."""
     found = let(F.lower(F.col(text_col)), lambda low: F.filter(F.array(*map(F.lit, trigrams)), lambda t: F.contains(low, t)))
     return df.select(F.col(id_col).alias("doc_id"), F.explode(found).alias("trigram"))
 
@@ -152,29 +152,28 @@ def spans(text: Column, rule: Rule) -> Column:
 NONE = "cast(array() as array<struct<start:int,end:int>>)"
 
 
-def scan(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", prefix: str = "_found_") -> DataFrame:
-    """All columns, and ``_found_<kind>``, the array of spans of each rule.
+def scan(df: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", prefix: str = "_found_") -> DataFrame:
+    """All columns, and ``_found_<kind>``, the array of spans of each rule; a column of the input so named is replaced.
 
-    Null texts have none. Postings of rows with the same id (null too) are merged, which only makes
-    more candidates; every row is verified on its own text, so repeated rows are kept and right.
+    Null texts have none. Every row is a document of its own, whatever its id, and is verified on its
+    own text, so repeated rows are kept and right. An empty table gives no rows.
     """
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     asked = {k: q for k, q in queries.items() if frozenset() not in q}
-    text = F.col(text_col)
-    out = df
+    inner, name, _ = shielded(df)
+    text = F.col(name[text_col])
+    out = inner
     if asked:
-        names = {k: f"_is_{k}" for k in asked}
         grams = sorted({t for q in asked.values() for c in q for t in c})
-        index = postings(df, grams, id_col, text_col)
-        hits = candidates(index, asked).select(F.col("doc_id").alias("_hit_id"), *(F.col(k).alias(n) for k, n in names.items()))
-        hits = written(hits, "secret-candidates")
-        hits = F.broadcast(hits) if hits.count() <= BROADCAST_HITS else hits  # else texts are shuffled by id
-        out = df.join(hits, F.col(id_col).eqNullSafe(F.col("_hit_id")), "left")
+        out = located(inner)
+        hits = candidates(postings(out, grams, "_at", name[text_col]), asked)
+        hits = written(hits.select(F.col("doc_id").alias("_at"), *(F.col(k).alias(f"_is_{k}") for k in asked)), "secret-candidates")
+        out = out.join(F.broadcast(hits) if hits.count() <= BROADCAST_HITS else hits, "_at", "left")
     columns = {}
     for r in rules:
         sure = F.col(f"_is_{r.kind}") if r.kind in asked else text.rlike(r.pattern if r.group or r.least == 1 or not r.pattern.endswith("+") else f"{r.pattern[:-1]}{{{r.least},}}")
         columns[prefix + r.kind] = F.when(sure, spans(text, r)).otherwise(F.expr(NONE))
-    return out.withColumns(columns).drop("_hit_id", *(f"_is_{k}" for k in asked))
+    return out.select(*(F.col(n).alias(c) for c, n in name.items() if c not in columns), *(x.alias(c) for c, x in columns.items()))
 
 
 def listed(rules: tuple[Rule, ...], prefix: str = "_found_") -> Column:
@@ -194,9 +193,10 @@ def digest(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     return rows.select("doc_id", *(f"n_{r.kind}" for r in rules), F.sha2(F.encode("spans", "UTF-8"), 256).alias("base_sha256"), "spans")
 
 
-def redacted(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """The rows with every span, of whatever rule, replaced by ``mark``; overlapping spans are one. Other columns stay."""
-    text = F.col(text_col)
+def redacted(df: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """The rows with every span, of whatever rule, replaced by ``mark``; overlapping spans are one. Other columns stay, whatever their names; null texts stay null."""
+    inner, name, back = shielded(df)
+    text = F.col(name[text_col])
 
     def hide(acc: Column, s: Column) -> Column:
         new = s["start"] >= acc["at"]
@@ -205,8 +205,8 @@ def redacted(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_
 
     rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
     clean = F.aggregate(F.col("_all"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), hide, rest)
-    found = scan(df, rules, id_col, text_col).withColumn("_all", listed(rules))
-    return found.withColumn(text_col, F.when(F.size("_all") > 0, clean).otherwise(text)).select(*(F.col(f"`{c}`") for c in df.columns))
+    found = scan(inner, rules, name[text_col]).withColumn("_all", listed(rules))
+    return back(found.withColumn(name[text_col], F.when(F.size("_all") > 0, clean).otherwise(text)))
 
 
 ORACLE = r"""

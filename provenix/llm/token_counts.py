@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenix.llm.common import tune
-from provenix.llm.pieces import byte_chars, claim, cutter
+from provenix.llm.memory import claim
+from provenix.llm.pieces import byte_chars, cutter
 
 #: Pre-tokens that a worker remembers beside the vocabulary; documents handled at a time; longest string remembered.
 KEPT, CHUNK, LONGEST = 400_000, 64, 64

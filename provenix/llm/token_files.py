@@ -19,28 +19,31 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenix.llm import simple8b
 from provenix.llm.common import filesystem, tune
-from provenix.llm.pieces import _ODD, claim, cutter
+from provenix.llm.memory import claim
+from provenix.llm.pieces import _ODD, cutter
 
 MAGIC = b"PVXTOK01"
 #: Ids of a block; documents encoded at a time.
 BLOCK, CHUNK = 65_536, 256
+#: Bytes of texts that go to one file, about.
+FILE_BYTES = 256 << 20
 #: Pre-tokens that a worker remembers, and the longest; new ones that reach the library in one string.
 KEPT, LONGEST, GROUP = 1_200_000, 64, 256
 
 
 class Writer:
-    """Streams ids into one file; the file appears under its name only when it is whole."""
+    """Streams ids into one file. Every attempt at a task has a file of its own, and only those in the manifest count."""
 
     def __init__(self, uri: str):
-        self.fs, self.path = filesystem(uri)
-        self.temp = f"{self.path}.{uuid.uuid4().hex}.tmp"
-        self.out = self.fs.open_output_stream(self.temp)
+        fs, path = filesystem(uri)
+        self.out = fs.open_output_stream(path)
         self.out.write(MAGIC)
         self.at, self.offsets, self.flags, self.ids, self.docs = len(MAGIC), [], [], [], []
         self.waiting = 0
@@ -70,7 +73,6 @@ class Writer:
         footer = [np.array([*self.offsets, self.at], "<i8"), np.array(self.flags, "<i8"), *(docs[:, i].astype("<i8") for i in range(3))]
         self.out.write(b"".join(x.tobytes() for x in footer) + struct.pack("<QQ", len(self.flags), len(docs)) + MAGIC)
         self.out.close()
-        self.fs.move(self.temp, self.path)
 
 
 def read_file(uri: str) -> Iterator[tuple[int | None, np.ndarray]]:
@@ -171,15 +173,17 @@ def write_token_files(df: DataFrame, uri: str, tokenizer: str, end_id: int = 2,
     """Writes part files in ascending id order and returns their manifest: (file, ids before it, ids in it).
 
     Null ids come first, equal ids by text; null texts are empty and get only the end id. Rows are
-    range-partitioned, so no id, however often it repeats, has to fit a task with all its rows. The
-    manifest has a row a partition.
+    range-partitioned, so no id, however often it repeats, has to fit a task with all its rows. There are
+    as many files as the texts' bytes ask for, or as the session deals shuffles to if those are more; the
+    manifest has a row a file. What tasks that failed or ran twice left behind is removed. Other columns
+    are not read; an empty table gives no files.
     """
     tune(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("token-files", _encoder.cache_clear)
         part = TaskContext.get().partitionId()
-        name, n, out = f"part-{part:06d}.tok", 0, None
+        name, n, out = f"part-{part:06d}-{uuid.uuid4().hex}.tok", 0, None
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK):
                 rows = batch.slice(at, CHUNK)
@@ -194,11 +198,18 @@ def write_token_files(df: DataFrame, uri: str, tokenizer: str, end_id: int = 2,
     fs, path = filesystem(uri)
     fs.create_dir(path)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    files = size // FILE_BYTES
+    many = [files] if files > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
+    ordered = rows.repartitionByRange(*many, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     manifest, start = [], 0
     for row in sorted(ordered.mapInArrow(run, "part long, file string, n long").collect()):
         manifest.append((f"{uri}/{row.file}", start, row.n))
         start += row.n
+    kept = {name.rpartition("/")[2] for name, _, _ in manifest}
+    for left in fs.get_file_info(pafs.FileSelector(path)):
+        if left.base_name not in kept:
+            fs.delete_file(left.path)
     return manifest
 
 
