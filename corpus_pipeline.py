@@ -27,12 +27,13 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Decided by id and text, null-safe: other texts of a dropped copy's id stay, and a copy without an id goes.
     Of repeated rows the one of least lang, source and n_chars stays. Texts of one id that are linked, and
-    linked texts none of which has an id, are kept together as near_duplicates says.
+    linked texts none of which has an id, are kept together as near_duplicates says. Null and empty texts
+    stand alone, and stay; an empty table gives no rows.
     """
-    docs = docs.select(*COLUMNS).withColumn("_hash", F.sha2("text", 256))
+    docs = docs.select(*COLUMNS).withColumn("_hash", F.xxhash64(F.sha2("text", 256)))
     decided = near_dedup.near_duplicates(docs, 80, carry=("_hash",)).groupBy("doc_id", "_hash").agg(F.bool_and("kept").alias("_kept"), F.count("*").alias("_rows"))
     odd = written(decided.where("not _kept or _rows > 1").select(F.col("doc_id").alias("_odd"), F.col("_hash").alias("_odd_hash"), "_kept"), "dedup-odd")
-    same = F.col("doc_id").eqNullSafe(F.col("_odd")) & F.col("_hash").eqNullSafe(F.col("_odd_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("_odd")) & (F.col("_hash") == F.col("_odd_hash"))
     repeated = docs.join(odd.where("_kept"), same, "left_semi").groupBy("doc_id", "_hash").agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("_row")).select("doc_id", "_row.*")
     return docs.join(odd, same, "left_anti").select(*COLUMNS).unionByName(repeated.select(*COLUMNS))
 
