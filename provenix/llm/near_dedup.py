@@ -9,8 +9,8 @@ merged, and a document with fewer shared postings than that is skipped altogethe
 documents share, like a licence text, has long lists, which come last and are hardly ever merged.
 
 Pairs are never expanded within a group that is known to be one. Equal sets are one representative
-first. Then each document is compared with the least document of its lists (a star), which joins groups
-of near copies. Lists that still hold several components are merged: their signatures are dealt into
+first. Then each document is compared with the document that is the least one of most of its lists (a
+star), which joins groups of near copies. Lists that still hold several components are merged: their signatures are dealt into
 blocks of bounded size, two blocks meet in one task, and collisions are counted over the whole
 signature. The first merge returns no more pairs than join the components it sees (a forest); the
 second, over what is open after those are confirmed, returns every pair above the match threshold that
@@ -157,14 +157,14 @@ def postings(reps: DataFrame) -> DataFrame:
     return reps.select("id", "sig").mapInArrow(run, "id long, token long")
 
 
-def prefixes(reps: DataFrame, least: int) -> DataFrame:
-    """(id, token) of the lists that have to be merged."""
+def prefixes(reps: DataFrame, least: int) -> tuple[DataFrame, list]:
+    """(id, token) of the lists that have to be merged, and the tokens of very long lists."""
     posted = postings(reps)
     shared = written(posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "dedup-shared")
     hot = hot_keys(shared, "token", COORDINATES * reps.count(), "df")
     held = spread_join(posted, shared, "token", "id", hot).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"))  # COORDINATES at most
     held = held.where(F.size("held") >= least)
-    return held.select("id", F.explode(F.slice("held", F.lit(1), F.size("held") - least + 1)).alias("p")).select("id", F.col("p.token").alias("token"))
+    return held.select("id", F.explode(F.slice("held", F.lit(1), F.size("held") - least + 1)).alias("p")).select("id", F.col("p.token").alias("token")), hot
 
 
 def _both(pairs: DataFrame, side: DataFrame) -> DataFrame:
@@ -213,34 +213,21 @@ def matching(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(id, label) of every id in edges (a, b): the least id that it reaches. Least labels go along edges and through labels until none changes; each round is a written table that takes the place of the one before."""
     both = written(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct(), f"{name}-edges")
-    hot = hot_keys(both.groupBy("v").agg(F.count("*").alias("_n")), "v", both.count(), "_n")
-    held = labels = written(both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m")).select("id", F.least("id", "m").alias("label")), f"{name}-labels")
-    while True:
-        near = spread_join(both, labels.withColumnRenamed("id", "v"), "v", "u", hot).groupBy("u").agg(F.min("label").alias("near"))
-        new = labels.join(near, labels["id"] == near["u"]).select("id", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        new = written(new, f"{name}-near")
-        roots = hot_keys(new.groupBy("label").agg(F.count("*").alias("_n")), "label", new.count(), "_n")
-        far = spread_join(new, labels.select(F.col("id").alias("label"), F.col("label").alias("far")), "label", "id", roots)
-        jumped = written(far.select("id", F.least("label", "far").alias("label"), "old"), f"{name}-labels")
-        drop_table(new)
-        drop_table(held)
-        held, labels = jumped, jumped.select("id", "label")
-        if not jumped.where("label <> old").limit(1).count():
-            drop_table(both)
-            return labels
-
-
-def merged(labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
-    """(id, label) after more links (a, b), a written table: components of the old labels are joined. Ids that had no label are their own."""
-    if not links.limit(1).count():
-        return labels
-    ends = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
-    known = written(labels.union(ends.join(labels, "id", "left_anti").select("id", F.col("id").alias("label"))), f"{name}-known")
-    a, b = (known.select(F.col("id").alias(k), F.col("label").alias(f"_{k}")) for k in "ab")
-    between = links.join(a, "a").join(b, "b").where("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct()
-    more = components(written(between, f"{name}-between"), name).withColumnRenamed("label", "_new").withColumnRenamed("id", "label")
-    hot = hot_keys(known.groupBy("label").agg(F.count("*").alias("_n")), "label", known.count(), "_n")
-    return written(spread_join(known, more, "label", "id", hot, "left").select("id", F.coalesce("_new", "label").alias("label")), f"{name}-merged")
+    n = both.count()
+    hubs = hot_keys(both.groupBy("v").agg(F.count("*").alias("_n")), "v", n, "_n")
+    labels = written(both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m")).select("id", F.least("id", "m").alias("label"), F.lit(0).cast("long").alias("moved")), f"{name}-labels")
+    while n:
+        roots = hot_keys(labels.groupBy("label").agg(F.count("*").alias("_n")), "label", n, "_n")
+        near = spread_join(both, labels.select(F.col("id").alias("v"), "label"), "v", "u", hubs).groupBy(F.col("u").alias("id")).agg(F.min("label").alias("near"))
+        far = spread_join(labels.select("id", "label"), labels.select(F.col("id").alias("label"), F.col("label").alias("far")), "label", "id", roots)
+        new = F.least("label", "near", "far")
+        later = written(far.join(near, "id").select("id", new.alias("label"), (F.col("label") - new).alias("moved")), f"{name}-labels")
+        drop_table(labels)
+        labels = later
+        if not labels.where("moved <> 0").limit(1).count():
+            break
+    drop_table(both)
+    return labels.select("id", "label")
 
 
 def open_lists(lists: DataFrame, labels: DataFrame, hot: list) -> DataFrame:
@@ -359,22 +346,27 @@ def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", te
     rows = written(sketches(docs, carry), "dedup-sketches")
     classes = rows.where("set_hash is not null").groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"), F.min("_at").alias("at"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("n_rows"))
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "dedup-classes")
-    lists = written(prefixes(classes, least), "dedup-lists")
-    sizes = written(lists.groupBy("token").agg(F.count("*").alias("df"), F.min("id").alias("a")), "dedup-sizes")
-    long_lists = hot_keys(sizes, "token", lists.count(), "df")
+    lists, long_lists = prefixes(classes, least)
+    lists = written(lists, "dedup-lists")
     active = written(classes.join(lists.select("id").distinct(), "id", "left_semi"), "dedup-active")
     full = written(sets(docs, active), "dedup-sets")
-    # the star: each document against the least one of its lists
-    stars = spread_join(lists, sizes.select("token", "a"), "token", "id", long_lists).where("a < id").groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
+    # the star: each document against the least one of most of its lists
+    firsts = lists.groupBy("token").agg(F.min("id").alias("a"))
+    stars = spread_join(lists, firsts, "token", "id", long_lists).where("a < id").groupBy(F.col("id").alias("b"), "a").agg(F.count("*").alias("n"))
+    stars = stars.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("m")))["m"].alias("m")).select((-F.col("m")).alias("a"), "b")
     stars = written(matching(written(stars, "dedup-pairs"), active, percent), "dedup-stars")
-    labels = components(written(confirmed(stars, full, percent), "dedup-links"), "dedup-star")
+    links = written(confirmed(stars, full, percent), "dedup-links")
+    labels = components(links, "dedup-star")
     # a forest of what the lists still hold apart, then all that is left
     opened = written(open_lists(lists, labels, long_lists), "dedup-open")
-    tree = written(candidates(opened, active, percent, forest=True).join(stars, ["a", "b"], "left_anti"), "dedup-tree")
-    labels = merged(labels, written(confirmed(tree, full, percent), "dedup-links"), "dedup-tree")
-    opened = written(open_lists(opened, labels, long_lists), "dedup-open")
-    rest = candidates(opened, active, percent, forest=False).join(stars.union(tree), ["a", "b"], "left_anti")
-    labels = merged(labels, written(confirmed(written(rest, "dedup-rest"), full, percent), "dedup-links"), "dedup-rest")
+    forest = written(candidates(opened, active, percent, forest=True), "dedup-forest")
+    if forest.limit(1).count():  # without any, no two components can be linked
+        links = links.union(written(confirmed(written(forest.join(stars, ["a", "b"], "left_anti"), "dedup-tree"), full, percent), "dedup-links"))
+        labels = components(links, "dedup-tree")
+        rest = candidates(open_lists(opened, labels, long_lists), active, percent, forest=False)
+        rest = written(rest.join(stars.union(forest), ["a", "b"], "left_anti"), "dedup-rest")
+        if rest.limit(1).count():
+            labels = components(links.union(written(confirmed(rest, full, percent), "dedup-links")), "dedup-rest")
     # names of components, and back to the rows
     heads = classes.select("id", "set_hash", "doc_id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     names = heads.groupBy("label").agg(F.min("doc_id").alias("_component"))
