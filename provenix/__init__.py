@@ -1 +1,3 @@
 """Image-metadata forensics on Spark."""
+
+__version__ = "0.2.0"

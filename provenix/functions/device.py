@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from provenix.functions.text import CORPORATE, collapse, comparison_key, strip
+from provenix.functions.text import CORPORATE, collapse, comparison_key, given, strip
 
 #: Makers by their upper-case name without spaces and hyphens, and how they are shown.
 MAKES = {
@@ -17,6 +17,7 @@ MAKES = {
     "SONYERICSSON": "Sony Ericsson",
 }
 EXIF_SOURCE, XMP_SOURCE = "EXIF", "XMP tiff:Make/tiff:Model"
+UNKNOWN_DEVICE = "unknown device"
 
 
 def make_base(raw: Column) -> Column:
@@ -48,21 +49,15 @@ def device_claim(source: str, make_raw: Column, model_raw: Column, software_raw:
     make, make_key = normalize_make(make_raw)
     model, model_key = normalize_model(model_raw, make, make_key)
     software, software_key = normalize_software(software_raw)
-    some = F.coalesce(F.nullif(make_raw, F.lit("")), F.nullif(model_raw, F.lit("")), F.nullif(software_raw, F.lit(""))).isNotNull()
-    return F.when(some, F.struct(
+    return F.when(given(make_raw) | given(model_raw) | given(software_raw), F.struct(
         F.lit(source).alias("source"), make_raw.alias("make_raw"), model_raw.alias("model_raw"), software_raw.alias("software_raw"), make.alias("make_norm"), model.alias("model_norm"),
         software.alias("software_norm"), make_key.alias("make_key"), model_key.alias("model_key"), software_key.alias("software_key"),
     ))
 
 
-def preferred(claims: Column) -> Column:
-    """The EXIF claim, else the first."""
-    return F.coalesce(F.get(F.filter(claims, lambda c: c["source"] == EXIF_SOURCE), 0), F.get(claims, 0))
-
-
-def key_and_display(claims: Column) -> tuple[Column, Column]:
-    """Device group of a file; a claim of software alone is unknown."""
-    c = preferred(claims)
-    some = c["make_key"].isNotNull() | c["model_key"].isNotNull()
+def key_and_display(c: Column) -> tuple[Column, Column]:
+    """Device group of a file from its preferred claim; a claim of software alone is unknown."""
+    some = F.coalesce(c["make_key"], c["model_key"]).isNotNull()
     key = F.concat(F.coalesce(c["make_key"], F.lit("?")), F.lit("/"), F.coalesce(c["model_key"], F.lit("?")))
-    return F.when(some, key).otherwise("unknown"), F.when(some, F.coalesce(c["model_norm"], c["make_norm"])).otherwise("unknown")
+    shown = F.coalesce(c["model_norm"], F.concat(c["make_norm"], F.lit(" (model unknown)")))
+    return F.when(some, key).otherwise("unknown"), F.when(some, shown).otherwise(UNKNOWN_DEVICE)

@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EARTH_KM, CELL = 6371.0, 0.01
-#: Altitude in metres that is plausible.
+#: What has to be said with any location, and altitude in metres that is plausible.
+DISCLAIMER = "GPS coordinates record the location stored in the file's metadata; they do not prove where the photograph was taken."
 ALTITUDE = (-1000.0, 12000.0)
 
 
@@ -19,6 +20,38 @@ def cell(c: Column) -> Column:
     return F.floor(c / CELL).cast("long")
 
 
+def _scaled(x: Column, digits: int) -> tuple[Column, Column]:
+    """x * 10**digits rounded to a double, and the exact rest of the product (Dekker's splitting)."""
+    power = F.lit(float(10**digits))
+    product = x * power
+    split = x * F.lit(134217729.0)
+    high = split - (split - x)
+    return product, (high * power - product) + (x - high) * power
+
+
+def rounded(x: Column, digits: int = 2) -> Column:
+    """x rounded to so many decimals by its exact binary value, ties to even; the sign of zero stays.
+
+    For decimals up to 6 and values below a billion. A tie of the product is a tie only if nothing is
+    left of it; else the rest says on which side of it the value lies.
+    """
+    product, rest = _scaled(x, digits)
+    tie = F.abs(product - F.rint(product)) == 0.5
+    return F.when(tie & (rest > 0), F.rint(product + 0.25)).when(tie & (rest < 0), F.rint(product - 0.25)).otherwise(F.rint(product)) / F.lit(float(10**digits))
+
+
+def fixed(x: Column, digits: int = 2) -> Column:
+    """x as text with so many decimals, rounded like ``rounded``."""
+    return F.format_string(f"%.{digits}f", rounded(x, digits))
+
+
+def location_cell(lat: Column, lon: Column, valid: Column) -> tuple[Column, Column]:
+    """(key, label) of the cell of about 1 km that valid coordinates lie in; else null."""
+    some = lat.isNotNull() & lon.isNotNull() & valid
+    a, b = fixed(lat), fixed(lon)
+    return F.when(some, F.concat(a, F.lit(","), b)), F.when(some, F.concat(F.lit("~"), a, F.lit(", "), b, F.lit(" (approx. 1 km cell)")))
+
+
 def dms_to_decimal(degrees: Column, minutes: Column, seconds: Column, ref: Column, positive: str, negative: str) -> Column:
     """Signed decimal degrees; negative degrees count by size, minutes and seconds from 60 on are computed all the same."""
     sign = F.when(F.upper(F.trim(ref)) == positive, 1.0).when(F.upper(F.trim(ref)) == negative, -1.0)

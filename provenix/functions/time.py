@@ -11,55 +11,42 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from provenix.functions.text import strip
-
-#: The formats that sources write.
-EXIF = r"^(\d{4}):(\d{2}):(\d{2})[ ](\d{2}):(\d{2}):(\d{2})$"
-XMP = r"^(\d{4})-(\d{2})-(\d{2})(?:[T ](\d{2}):(\d{2})(?::(\d{2})(?:\.\d{1,9})?)?(Z|[+-]\d{2}:?\d{2})?)?$"
-IPTC_DATE = r"^(\d{4})(\d{2})(\d{2})$"
-IPTC_TIME = r"^(\d{2})(\d{2})(\d{2})([+-]\d{4})?$"
-OFFSET = r"^([+-])(\d{2}):?(\d{2})$"
-GPS_DATE = r"^(\d{4}):(\d{2}):(\d{2})$"
-
-
-def number(c: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(c, pattern, group).try_cast("int")
+from provenix.functions.text import given, quoted, strip
+
+#: The formats that sources write, with the ranges that their fields may have.
+YEAR, MONTH, DAY = r"(?!0000)\d{4}", r"(0[1-9]|1[0-2])", r"(0[1-9]|[12]\d|3[01])"
+HOUR, MINUTE, SECOND = r"([01]\d|2[0-3])", r"[0-5]\d", r"([0-5]\d|6[01])"
+EXIF = rf"^{YEAR}:{MONTH}:{DAY} {HOUR}:{MINUTE}:{SECOND}$"
+XMP = rf"^{YEAR}-{MONTH}-{DAY}([T ]{HOUR}:{MINUTE}(:{SECOND}(\.\d{{1,9}})?)?(Z|[+-]\d{{2}}:?\d{{2}})?)?$"
+IPTC_DATE = rf"^{YEAR}{MONTH}{DAY}$"
+IPTC_TIME = rf"^{HOUR}{MINUTE}\d{{2}}([+-]\d{{4}})?$"
+OFFSET = rf"^[+-]{HOUR}:?{MINUTE}$"
+ZONE = r"(Z|[+-]\d{2}:?\d{2})$"
+GPS_DATE = rf"^\d{{4}}:{MONTH}:{DAY}$"
+CAPTURE_SOURCES = ("EXIF DateTimeOriginal", "XMP xmp:CreateDate", "IPTC DateCreated/TimeCreated")
 
 
-def digits(c: Column, at: int, n: int) -> Column:
-    """The number at a fixed place of a text whose pattern is known to match."""
+def _number(c: Column, at: int, n: int = 2) -> Column:
     return F.substring(c, at, n).try_cast("int")
 
 
-#: Places (from 1) and lengths of year, month, day, hour, minute and second.
-EXIF_PLACES = ((1, 4), (6, 2), (9, 2), (12, 2), (15, 2), (18, 2))
-
-
-def plausible(year: Column, month: Column, day: Column, hour: Column | None = None, minute: Column | None = None, second: Column | None = None) -> Column:
-    zero = F.lit(0)
-    return (year >= 1) & month.between(1, 12) & day.between(1, 31) & ((hour if hour is not None else zero) <= 23) & ((minute if minute is not None else zero) <= 59) & ((second if second is not None else zero) <= 61)
-
-
 def parse_offset(c: Column) -> Column:
     """Minutes east of UTC of ``Z`` or ``+HH:MM``; null for anything else."""
     c = strip(c)
-    hours, minutes = number(c, OFFSET, 2), number(c, OFFSET, 3)
-    size = F.when((hours <= 23) & (minutes <= 59), hours * 60 + minutes)
+    size = _number(c, 2) * 60 + F.right(c, F.lit(2)).try_cast("int")
     return F.when(c == "Z", F.lit(0)).when(c.rlike(OFFSET), F.when(F.startswith(c, F.lit("-")), -size).otherwise(size))
 
 
-def iso_day(year: Column, month: Column, day: Column) -> Column:
-    return F.format_string("%04d-%02d-%02d", year, month, day)
-
+def instant(wall: Column) -> Column:
+    """Seconds of an ISO wall time, or of the midnight of an ISO day; null where it doesn't exist (also for seconds from 60 on)."""
+    second = F.substring(wall, 18, 2)
+    time = [F.coalesce(_number(wall, at), F.lit(0)) for at in (12, 15, 18)]
+    return F.when(second < "60", F.unix_seconds(F.try_make_timestamp(_number(wall, 1, 4), _number(wall, 6), _number(wall, 9), *time[:2], time[2].cast("decimal(16,6)"))))
 
-def iso_wall(year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column) -> Column:
-    return F.format_string("%04d-%02d-%02dT%02d:%02d:%02d", year, month, day, hour, minute, second)
 
-
-def iso_utc(year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column, offset: Column) -> Column:
-    """The instant as text; null where it doesn't exist (also for seconds from 60 on)."""
-    at = F.when(second < 60, F.try_make_timestamp(year, month, day, hour, minute, second.cast("decimal(16,6)")))
-    return F.date_format(F.timestamp_add("MINUTE", -offset, at), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+def iso_utc(wall: Column, offset: Column) -> Column:
+    """The instant of a wall time as text; null where it doesn't exist."""
+    return F.date_format(F.timestamp_seconds(instant(wall) - offset * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def claim(label: str, source: str, raw: Column, utc: Column | None = None, wall: Column | None = None, precision: Column | str = "unknown", status: Column | str = "naive", parseable: bool | Column = True) -> Column:
@@ -71,52 +58,48 @@ def claim(label: str, source: str, raw: Column, utc: Column | None = None, wall:
     )
 
 
-def given(c: Column) -> Column:
-    return F.coalesce(c, F.lit("")) != ""
+def _joined(text: Column, *parts: tuple[int, int] | str) -> Column:
+    """Pieces of a text (place from 1, length) and constants, put together."""
+    return F.concat(*(F.lit(p) if isinstance(p, str) else F.substring(text, *p) for p in parts))
+
+
+def exif_wall(text: Column) -> Column:
+    return _joined(text, (1, 4), "-", (6, 2), "-", (9, 2), "T", (12, 8))
 
 
 def normalize_exif(raw: Column, offset_raw: Column, label: str, source: str) -> Column:
     text = strip(raw)
-    parts = [digits(text, *p) for p in EXIF_PLACES]
-    good = text.rlike(EXIF) & plausible(*parts)
-    wall, offset = iso_wall(*parts), parse_offset(offset_raw)
-    garbage = given(offset_raw) & offset.isNull()
-    shown = F.when(garbage, F.concat(text, F.lit(" (offset tag '"), offset_raw, F.lit("' unparseable)"))).otherwise(text)
-    zoned = claim(label, source, text, iso_utc(*parts, offset), wall, "second", "explicit")
-    naive = claim(label, source, shown, None, wall, "second", "naive")
-    return F.when(given(raw), F.when(~good, claim(label, source, text, parseable=False)).when(given(offset_raw) & offset.isNotNull(), zoned).otherwise(naive))
+    wall, offset = exif_wall(text), parse_offset(offset_raw)
+    known = given(offset_raw) & offset.isNotNull()
+    shown = F.when(given(offset_raw) & ~known, F.concat(text, F.lit(" (offset tag "), quoted(offset_raw), F.lit(" unparseable)"))).otherwise(text)
+    read = claim(label, source, shown, F.when(known, iso_utc(wall, offset)), wall, "second", F.when(known, "explicit").otherwise("naive"))
+    return F.when(given(raw), F.when(text.rlike(EXIF), read).otherwise(claim(label, source, text, parseable=False)))
 
 
 def normalize_xmp(raw: Column, label: str, source: str) -> Column:
     text = strip(raw)
-    year, month, day, hour, minute = (digits(text, *p) for p in EXIF_PLACES[:5])
-    with_seconds = F.substring(text, 17, 1) == ":"
-    second = F.when(with_seconds, digits(text, 18, 2)).otherwise(0)
-    zone = F.regexp_extract(text, XMP, 7)
-    by_day = F.length(text) == 10
-    good = text.rlike(XMP) & plausible(year, month, day) & (by_day | plausible(year, month, day, hour, minute, second))
+    by_day, with_seconds = F.length(text) == 10, F.substring(text, 17, 1) == ":"
+    zone = F.when(by_day, "").otherwise(F.regexp_extract(text, ZONE, 1))
     offset = parse_offset(zone)
+    minute = _joined(text, (1, 10), "T", (12, 5))
+    wall = F.when(by_day, text).when(with_seconds, F.concat(minute, F.substring(text, 17, 3))).otherwise(F.concat(minute, F.lit(":00")))
     precision = F.when(by_day, "day").when(with_seconds, "second").otherwise("minute")
-    wall = F.when(by_day, iso_day(year, month, day)).otherwise(iso_wall(year, month, day, hour, minute, second))
-    naive = claim(label, source, text, None, wall, precision, "naive")
-    zoned = claim(label, source, text, iso_utc(year, month, day, hour, minute, second, offset), wall, precision, "explicit")
-    return F.when(given(raw), F.when(~good | ((zone != "") & offset.isNull()), claim(label, source, text, parseable=False)).when(zone == "", naive).otherwise(zoned))
+    good = text.rlike(XMP) & ((zone == "") | offset.isNotNull())
+    read = claim(label, source, text, F.when(zone != "", iso_utc(wall, offset)), wall, precision, F.when(zone == "", "naive").otherwise("explicit"))
+    return F.when(given(raw), F.when(good, read).otherwise(claim(label, source, text, parseable=False)))
 
 
 def normalize_iptc(date_raw: Column, time_raw: Column, source: str) -> Column:
     both = F.concat_ws(" ", F.nullif(date_raw, F.lit("")), F.nullif(time_raw, F.lit("")))
     date, time = strip(date_raw), strip(time_raw)
-    year, month, day = (digits(date, *p) for p in ((1, 4), (5, 2), (7, 2)))
-    hour, minute, second = (digits(time, at, 2) for at in (1, 3, 5))
+    day = _joined(date, (1, 4), "-", (5, 2), "-", (7, 2))
     zone = F.substring(time, 7, 5)
     offset = parse_offset(zone)
-    bad = claim("capture", source, both, parseable=False)
-    good_date = F.coalesce(date.rlike(IPTC_DATE) & plausible(year, month, day), F.lit(False))
-    good_time = time.rlike(IPTC_TIME) & plausible(year, month, day, hour, minute) & ((zone == "") | offset.isNotNull())
-    wall = iso_wall(year, month, day, hour, minute, second)
-    by_time = F.when(~good_time, bad).when(zone == "", claim("capture", source, both, None, wall, "second", "naive")).otherwise(claim("capture", source, both, iso_utc(year, month, day, hour, minute, second, offset), wall, "second", "explicit"))
-    by_day = claim("capture", source, both, None, iso_day(year, month, day), "day", "naive")
-    return F.when(given(date_raw) | given(time_raw), F.when(~good_date, bad).when(~given(time_raw), by_day).otherwise(by_time))
+    wall = F.concat(day, F.lit("T"), _joined(time, (1, 2), ":", (3, 2), ":", (5, 2)))
+    good = F.coalesce(date.rlike(IPTC_DATE), F.lit(False)) & (~given(time_raw) | F.coalesce(time.rlike(IPTC_TIME) & ((zone == "") | offset.isNotNull()), F.lit(False)))
+    by_time = claim("capture", source, both, F.when(zone != "", iso_utc(wall, offset)), wall, "second", F.when(zone == "", "naive").otherwise("explicit"))
+    read = F.when(~given(time_raw), claim("capture", source, both, None, day, "day", "naive")).otherwise(by_time)
+    return F.when(given(date_raw) | given(time_raw), F.when(good, read).otherwise(claim("capture", source, both, parseable=False)))
 
 
 def normalize_utc(iso: Column, raw: Column, label: str, source: str) -> Column:
@@ -124,22 +107,46 @@ def normalize_utc(iso: Column, raw: Column, label: str, source: str) -> Column:
     return F.when(iso.isNotNull(), claim(label, source, raw, iso, F.rtrim(iso, F.lit("Z")), "second", "utc"))
 
 
+def normalize_gps(date_raw: Column, hour: Column, minute: Column, second: Column) -> Column:
+    return normalize_utc(gps_datetime(date_raw, hour, minute, second), F.concat_ws(" ", date_raw, F.format_string("%02d:%02d:%02d", *(x.cast("int") for x in (hour, minute, second)))), "gps", "GPS GPSDateStamp/GPSTimeStamp")
+
+
+def normalize_icc(created: Column) -> Column:
+    """A profile's time of creation, which is UTC."""
+    return normalize_utc(F.concat(created, F.lit("Z")), created, "icc-created", "ICC profile creation")
+
+
+def normalize_mtime(seconds: Column) -> Column:
+    """A file's time of modification in seconds (a double); what was observed is that number."""
+    iso = F.date_format(F.timestamp_seconds(F.floor(seconds)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return normalize_utc(iso, decimal(seconds), "filesystem", "filesystem mtime (not image metadata)")
+
+
+def decimal(seconds: Column) -> Column:
+    """A number of seconds in the fewest digits that give the same double, with one decimal at least."""
+    return F.regexp_replace(seconds.cast("decimal(27,9)").cast("string"), r"(\.\d+?)0+$", "$1")
+
+
 def exif_datetime(raw: Column) -> Column:
     """``YYYY:MM:DD HH:MM:SS`` as ISO text, range-checked; else null."""
-    parts = [digits(strip(raw), *p) for p in EXIF_PLACES]
-    return F.when(strip(raw).rlike(EXIF) & plausible(*parts), iso_wall(*parts))
+    text = strip(raw)
+    return F.when(text.rlike(EXIF), exif_wall(text))
 
 
 def gps_datetime(date_raw: Column, hour: Column, minute: Column, second: Column) -> Column:
     """A GPS date and its three time values (doubles) as UTC text; partial or out of range gives null. Seconds are cut."""
-    year, month, day = (digits(strip(date_raw), *p) for p in EXIF_PLACES[:3])
-    good = strip(date_raw).rlike(GPS_DATE) & month.between(1, 12) & day.between(1, 31) & hour.between(0, 23) & minute.between(0, 59) & second.between(0, 61)
-    return F.when(good, F.concat(iso_wall(year, month, day, hour.cast("int"), minute.cast("int"), second.cast("int")), F.lit("Z")))
+    date = strip(date_raw)
+    good = date.rlike(GPS_DATE) & hour.between(0, 23) & minute.between(0, 59) & second.between(0, 61)
+    clock = F.format_string("T%02d:%02d:%02dZ", *(x.cast("int") for x in (hour, minute, second)))
+    return F.when(good, F.concat(_joined(date, (1, 4), "-", (6, 2), "-", (9, 2)), clock))
 
 
-def impossible(claims: Column) -> Column:
-    """An offset asks for an instant that doesn't exist: the file counts as failed."""
-    return F.exists(claims, lambda t: (t["timezone_status"] == "explicit") & t["parseable"] & t["value_utc"].isNull())
+def impossible(*claims: Column) -> Column:
+    """An offset of one of the claims asks for an instant that doesn't exist: the file counts as failed."""
+    out = F.lit(False)
+    for t in claims:
+        out = out | F.coalesce((t["timezone_status"] == "explicit") & t["parseable"] & t["value_utc"].isNull(), F.lit(False))
+    return out
 
 
 def rank_and_key(t: Column) -> tuple[Column, Column]:
@@ -148,15 +155,21 @@ def rank_and_key(t: Column) -> tuple[Column, Column]:
     return rank, F.coalesce(t["value_utc"], t["wall"], t["raw"], F.lit(""))
 
 
-CAPTURE_SOURCES = ("EXIF DateTimeOriginal", "XMP xmp:CreateDate", "IPTC DateCreated/TimeCreated")
+def sorted_claims(claims: Column) -> Column:
+    """A file's claims in order of time; equal ones stay in the order of their sources."""
+    keyed = F.transform(claims, lambda t, i: F.struct(rank_and_key(t)[0].alias("rank"), rank_and_key(t)[1].alias("key"), i.alias("i"), t.alias("t")))
+    return F.transform(F.array_sort(keyed), lambda x: x["t"])
+
+
+UNKNOWN_DATE = "unknown date"
 
 
-def capture_day(claims: Column) -> tuple[Column, Column]:
+def capture_day(*claims: Column) -> tuple[Column, Column]:
     """(key, display) of the first parseable capture claim's day."""
-    first = F.get(F.filter(claims, lambda t: (t["label"] == "capture") & t["parseable"] & (t["value_utc"].isNotNull() | t["wall"].isNotNull())), 0)
-    day = F.substring(F.coalesce(first["value_utc"], first["wall"]), 1, 10)
-    display = F.when(first["value_utc"].isNotNull(), day).otherwise(F.concat(day, F.lit(" (timezone unknown)")))
-    return F.coalesce(day, F.lit("unknown")), F.coalesce(display, F.lit("unknown"))
+    usable = [F.coalesce(t["parseable"], F.lit(False)) & F.coalesce(t["value_utc"], t["wall"]).isNotNull() for t in claims]
+    day = F.coalesce(*(F.when(u, F.substring(F.coalesce(t["value_utc"], t["wall"]), 1, 10)) for u, t in zip(usable, claims, strict=True)))
+    shown = F.coalesce(*(F.when(u, F.when(t["value_utc"].isNotNull(), F.substring(t["value_utc"], 1, 10)).otherwise(F.concat(F.substring(t["wall"], 1, 10), F.lit(" (timezone unknown)")))) for u, t in zip(usable, claims, strict=True)))
+    return F.coalesce(day, F.lit("unknown")), F.coalesce(shown, F.lit(UNKNOWN_DATE))
 
 
 def fmt_duration(seconds: Column) -> Column:

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from provenix.functions.geo import cell, haversine, near
 from provenix.functions.text import contains_literal
+from provenix.sources.shared import written
 
 MAX_RADIUS_KM, LEAST_HASH = 1000.0, 8
-TEXT_FIELDS = ("make_raw", "model_raw", "device_display", "software_raw", "caption")
+TEXT_FIELDS = ("device_make", "device_model", "device_display", "software", "caption", "title")
 
 
 @dataclass(frozen=True)
@@ -30,6 +31,19 @@ class Filters:
     text: str | None = None
     hash: str | None = None
 
+    def is_empty(self) -> bool:
+        return not self.describe()
+
+    def describe(self) -> dict:
+        """The filters that are set, as they are shown."""
+        given = {"device": self.device, "date": self.date, "date_range": list(self.date_range or ()), "gps": self.gps_only, "near": dict(zip(("lat", "lon", "radius_km"), self.near or (), strict=False)), "anomaly": self.anomaly, "text": self.text, "hash": self.hash}
+        return {k: v for k, v in given.items() if v}
+
+    @classmethod
+    def parsed(cls, device: str | None = None, date: str | None = None, date_range: str | None = None, gps: bool = False, near: str | None = None, anomaly: str | None = None, text: str | None = None, hash: str | None = None) -> Filters:  # noqa: A002
+        """Filters from texts; what can't be one is a ValueError."""
+        return cls(device, parse_date(date) if date else None, parse_date_range(date_range) if date_range else None, bool(gps), parse_near(near) if near else None, anomaly, text, parse_hash(hash) if hash else None)
+
     def predicate(self) -> Column:
         """One column; cheap tests come first."""
         out = F.lit(True)
@@ -42,14 +56,14 @@ class Filters:
         if self.gps_only:
             out &= F.col("has_gps")
         if self.hash:
-            out &= F.startswith(F.col("sha256"), F.lit(self.hash.lower()))
+            out &= F.startswith(F.lower("sha256"), F.lit(self.hash.lower()))
         if self.anomaly:
             out &= F.array_contains("anomaly_rule_ids", self.anomaly)
         if self.text:
             needle = self.text
             out &= F.exists(F.concat(F.array(*(F.coalesce(F.col(c), F.lit("")) for c in TEXT_FIELDS)), F.col("keywords")), lambda x: contains_literal(x, needle))
         if self.near:
-            out &= F.coalesce(near(F.col("lat"), F.col("lon"), *self.near), F.lit(False))
+            out &= F.coalesce(near(F.col("gps_lat"), F.col("gps_lon"), *self.near), F.lit(False))
         return out
 
 
@@ -86,28 +100,32 @@ def parse_hash(text: str) -> str:
 def cell_components(located: DataFrame) -> DataFrame:
     """(y, x, label) of distinct grid cells, neighbours (8) in one component, by least labels until none changes.
 
-    Each round is checkpointed to the session's shared folder, so lineage stays short and survives lost executors.
+    Each round is a table in the session's shared folder, so lineage stays short and survives lost executors.
     """
     cells = located.select(cell(F.col("lat")).alias("y"), cell(F.col("lon")).alias("x")).distinct()
-    cells = cells.withColumn("label", F.struct("y", "x")).checkpoint()
+    cells = written(cells.withColumn("label", F.struct("y", "x")), "cells")
     steps = F.array(*(F.struct(F.lit(a).cast("long").alias("dy"), F.lit(b).cast("long").alias("dx")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
     while True:
         reach = cells.select("label", F.explode(steps).alias("s"), "y", "x").select((F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), "label")
         near_labels = reach.groupBy("y", "x").agg(F.min("label").alias("near"))
-        moved = cells.join(near_labels, ["y", "x"]).select("y", "x", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        root = moved.select(F.col("y").alias("ry"), F.col("x").alias("rx"), F.col("label").alias("root"))
-        jumped = moved.join(root, (F.col("label.y") == F.col("ry")) & (F.col("label.x") == F.col("rx"))).select("y", "x", "old", F.least("label", "root").alias("label")).checkpoint()
-        cells = jumped.select("y", "x", "label")
-        if not jumped.where("old <> label").limit(1).count():
+        root = cells.select(F.col("y").alias("ry"), F.col("x").alias("rx"), F.col("label").alias("root"))
+        moved = cells.join(near_labels, ["y", "x"]).join(root, (F.col("label.y") == F.col("ry")) & (F.col("label.x") == F.col("rx")))
+        moved = written(moved.select("y", "x", F.col("label").alias("old"), F.least("label", "near", "root").alias("label")), "cells")
+        cells = moved.select("y", "x", "label")
+        if not moved.where("old <> label").limit(1).count():
             return cells
 
 
-def clusters(located: DataFrame) -> DataFrame:
-    """Centre, radius (km), count, files and span of days of each component of cells."""
-    rows = located.withColumns({"y": cell(F.col("lat")), "x": cell(F.col("lon"))}).join(cell_components(located), ["y", "x"])
-    centre = rows.groupBy("label").agg(F.avg("lat").alias("center_lat"), F.avg("lon").alias("center_lon"))
-    known = F.when(F.col("capture_day") != "unknown", F.col("capture_day"))
-    away = haversine(F.col("center_lat"), F.col("center_lon"), F.col("lat"), F.col("lon"))
-    out = rows.join(centre, "label").groupBy("label", "center_lat", "center_lon").agg(
-        F.max(away).alias("radius_km"), F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("path")), ",").alias("files"), F.min(known).alias("first_day"), F.max(known).alias("last_day"))
-    return out.select("center_lat", "center_lon", "radius_km", "n", "files", "first_day", "last_day")
+def clusters(located: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(label, centre, radius in km, count, span of days) of each component of cells, and its members (label, path).
+
+    Sums of cells give the centres, so only the distances to them need the rows again.
+    """
+    rows = written(located.select("path", "lat", "lon", F.when(F.col("capture_day") != "unknown", F.col("capture_day")).alias("day"), cell(F.col("lat")).alias("y"), cell(F.col("lon")).alias("x")), "located")
+    sums = rows.groupBy("y", "x").agg(F.count("*").alias("n"), F.sum("lat").alias("lat"), F.sum("lon").alias("lon"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+    cells = cell_components(rows)
+    total = sums.join(cells, ["y", "x"]).groupBy("label").agg(F.sum("n").alias("n"), F.sum("lat").alias("lat"), F.sum("lon").alias("lon"), F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"))
+    total = written(total.select("label", (F.col("lat") / F.col("n")).alias("center_lat"), (F.col("lon") / F.col("n")).alias("center_lon"), "n", "first_day", "last_day"), "clusters")
+    placed = rows.join(cells.join(total, "label"), ["y", "x"])
+    radius = placed.groupBy("label").agg(F.max(haversine(F.col("center_lat"), F.col("center_lon"), F.col("lat"), F.col("lon"))).alias("radius_km"))
+    return total.join(radius, "label").select("label", "center_lat", "center_lon", "radius_km", "n", "first_day", "last_day"), rows.join(cells, ["y", "x"]).select("label", "path")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
-from pathlib import Path
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from provenix.functions import geo, text
 from provenix.operators import batch, files
 from provenix.plans.registry import query, table
-from provenix.sources import images, magic, synthetic, xmp
+from provenix.sources import images, magic, storage, synthetic, xmp
 from provenix.sources.shared import shared_dir
 
 c = F.col
@@ -25,13 +24,15 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("hash_sha256", "SELECT doc_id, sha256(text) AS sha256 FROM documents")(_documents)
+#: The digest of ``abc``, the only one that SQL here can't compute; a test has it.
 query("hash_sha512")(lambda spark, d: table(spark, d, "documents").select("doc_id", F.sha2("text", 512).alias("sha512")))
 query("evidence_id", "SELECT doc_id, 'MT-' || substr(sha256(text), 1, 16) AS evidence_id FROM documents")(lambda s, d: _documents(s, d).select("doc_id", F.concat(F.lit("MT-"), F.substring("sha256", 1, 16)).alias("evidence_id")))
-query("find_duplicates", "SELECT sha256(text) AS sha256, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR) AS files FROM documents GROUP BY 1 HAVING count(*) > 1")(lambda s, d: batch.duplicates(_documents(s, d), member="doc_id"))
-query("duplicate_counts", "SELECT count(*) AS duplicate_groups, coalesce(sum(n), 0)::BIGINT AS duplicate_files FROM (SELECT count(*) AS n FROM documents GROUP BY sha256(text) HAVING count(*) > 1)")(
-    lambda s, d: batch.duplicates(_documents(s, d), member="doc_id").agg(F.count("*").alias("duplicate_groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("duplicate_files")))
-query("dup_left_join", "SELECT doc_id, substr(x.h, 1, 16) AS duplicate_group FROM documents LEFT JOIN (SELECT sha256(text) AS h FROM documents GROUP BY 1 HAVING count(*) > 1) x ON x.h = sha256(text)")(
-    lambda s, d: _documents(s, d).join(batch.duplicates(_documents(s, d), member="doc_id").select("sha256", F.substring("sha256", 1, 16).alias("duplicate_group")), "sha256", "left").select("doc_id", "duplicate_group"))
+_SAME = "(SELECT sha256(text) AS h, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1)"
+query("find_duplicates", f"SELECT h AS sha256, n FROM {_SAME}")(lambda s, d: batch.duplicates(_documents(s, d).where("sha256 is not null")))
+query("duplicate_members", f"SELECT h AS key, doc_id FROM documents JOIN {_SAME} ON h = sha256(text)")(lambda s, d: batch.members(_documents(s, d), "sha256", "doc_id", batch.duplicates(_documents(s, d))))
+query("duplicate_counts", f"SELECT count(*) AS duplicate_groups, coalesce(sum(n), 0)::BIGINT AS duplicate_files FROM {_SAME}")(lambda s, d: batch.duplicate_counts(batch.duplicates(_documents(s, d).where("sha256 is not null"))))
+query("dup_left_join", f"SELECT doc_id, substr(h, 1, 16) AS duplicate_group FROM documents LEFT JOIN {_SAME} ON h = sha256(text)")(
+    lambda s, d: _documents(s, d).join(batch.duplicates(_documents(s, d)).select("sha256", F.substring("sha256", 1, 16).alias("duplicate_group")), "sha256", "left").select("doc_id", "duplicate_group"))
 query("text_decode_fallback")(lambda s, d: table(s, d, "documents").select("doc_id", text.decode_lenient(F.encode("text", "UTF-8")).alias("utf8"), text.decode_lenient(F.unhex(F.lit("ff41"))).alias("latin1")))
 
 #: Header bytes of each event type, as hex: JPEG, PNG, WebP, TIFF, and a RIFF file that is no image.
@@ -94,7 +95,7 @@ query("orientation_flash", f"SELECT p_partkey, {_ORIENT}[p_size % 9] AS orientat
 
 query("chunk_reassembly", "SELECT conv_id, sha256(string_agg(text, '' ORDER BY turn)) AS sha256, count(*) AS chunks FROM conversations GROUP BY conv_id")(
     lambda s, d: table(s, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("x")).select("conv_id", F.sha2(F.array_join(c("x.text"), ""), 256).alias("sha256"), F.size("x").cast("long").alias("chunks")))
-query("missing_chunks", "SELECT c.conv_id, string_agg(i::VARCHAR, ',' ORDER BY i) AS missing FROM (SELECT conv_id, max(turn) AS m FROM conversations GROUP BY conv_id) c, range(0, 10) r(i) WHERE i <= m + 2 AND NOT EXISTS (SELECT 1 FROM conversations x WHERE x.conv_id = c.conv_id AND x.turn = i) GROUP BY c.conv_id")(
+query("missing_chunks", "SELECT c.conv_id, string_agg(i::VARCHAR, ',' ORDER BY i) AS missing FROM (SELECT conv_id, m, unnest(generate_series(0, m + 2)) AS i FROM (SELECT conv_id, max(turn) AS m FROM conversations GROUP BY conv_id)) c WHERE NOT EXISTS (SELECT 1 FROM conversations x WHERE x.conv_id = c.conv_id AND x.turn = i) GROUP BY c.conv_id")(
     lambda s, d: table(s, d, "conversations").groupBy("conv_id").agg(F.collect_set("turn").alias("seen"), F.max("turn").alias("m")).where("m >= -2").select("conv_id", F.array_join(F.transform(F.array_except(F.sequence(F.lit(0).cast("long"), c("m") + 2), "seen"), lambda x: x.cast("string")), ",").alias("missing")))
 
 
@@ -194,14 +195,13 @@ query("thumbnail_extract", "SELECT p_partkey::VARCHAR AS path, 0::BIGINT AS inde
 @query("scan_files", "SELECT 'r' || n_regionkey || '/' || n_nationkey || '.jpg' AS path, 'ok' AS status, n_name AS make, NULL::VARCHAR AS error FROM nation UNION ALL SELECT 'r' || r_regionkey || '/.hidden.txt', 'skipped', NULL, 'not a recognized image format (magic bytes)' FROM region")
 def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder with a file for each nation, in a subfolder for each region with a hidden file that is no image, listed and decoded."""
-    root = Path(shared_dir(spark, "scan").removeprefix("file:")).resolve()
+    root = shared_dir(spark, "scan")
     for r in table(spark, sf_dir, "region").select("r_regionkey").collect():  # region and nation are of fixed size
-        (root / f"r{r.r_regionkey}").mkdir(parents=True)
-        (root / f"r{r.r_regionkey}" / ".hidden.txt").write_text("no image")
+        storage.write_file(spark, f"{root}/r{r.r_regionkey}/.hidden.txt", b"no image")
     for n in table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").collect():
-        (root / f"r{n.n_regionkey}" / f"{n.n_nationkey}.jpg").write_bytes(synthetic.jpeg(synthetic.tiff([(0x010F, 2, n.n_name)])))
-    found = images.extract(images.scan(spark, str(root), recursive=True))
-    return found.select(F.substring(c("path"), F.lit(len(str(root)) + 2), F.length("path")).alias("path"), "status", "make", "error")
+        storage.write_file(spark, f"{root}/r{n.n_regionkey}/{n.n_nationkey}.jpg", synthetic.jpeg(synthetic.tiff([(0x010F, 2, n.n_name)])))
+    found = images.extract(storage.scan(spark, root, recursive=True))
+    return found.select(F.regexp_extract("path", r"(r\d+/[^/]+)$", 1).alias("path"), "status", "make", "error")
 
 
 query("file_analysis", """SELECT p_partkey::VARCHAR AS path, 'ok' AS status, '2026-09-14' AS capture_day, 'EXIF DateTimeOriginal' AS sources, true AS has_gps, p_partkey % 90 < 90 AND p_size < 180 AS gps_valid, 0 AS flags FROM part""")(

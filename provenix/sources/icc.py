@@ -39,35 +39,35 @@ def _from_jpeg(data: bytes) -> tuple[bytes | None, list[str]]:
     return b"".join(chunks[i] for i in range(1, total + 1)), warnings
 
 
-def _from_png(data: bytes) -> tuple[bytes | None, list[str]]:
+def _from_png(data: bytes, most: int) -> tuple[bytes | None, list[str]]:
     warnings: list[str] = []
     for kind, payload in png_chunks(data):
         if kind != b"iCCP":
             continue
         packed = payload.partition(b"\0")[2]
-        out = inflate(packed[1:], MOST) if packed[:1] == b"\0" else None
-        if out is not None and len(out) <= MOST:
+        out = inflate(packed[1:], most) if packed[:1] == b"\0" else None
+        if out is not None and len(out) <= most:
             return out, warnings
-        warnings.append("an iCCP chunk can't be inflated" if out is None else f"an ICC profile inflates to over {MOST} bytes")
+        warnings.append("an iCCP chunk can't be inflated" if out is None else f"an ICC profile inflates to over {most} bytes")
     return None, warnings
 
 
-def profile(fmt: str, data: bytes) -> tuple[bytes | None, list[str]]:
+def profile(fmt: str, data: bytes, most: int = MOST) -> tuple[bytes | None, list[str]]:
     """The whole profile of a file, and warnings."""
     if fmt == "JPEG":
         out, warnings = _from_jpeg(data)
     elif fmt == "PNG":
-        out, warnings = _from_png(data)
+        out, warnings = _from_png(data, most)
     else:
         out, warnings = (Directories(data).blob(TIFF_TAG) if fmt == "TIFF" else None), []
-    if out is not None and len(out) > MOST:
-        return None, [*warnings, f"ICC profile has over {MOST} bytes"]
+    if out is not None and len(out) > most:
+        return None, [*warnings, f"ICC profile has over {most} bytes"]
     return out, warnings
 
 
-def decode(fmt: str, data: bytes) -> dict | None:
+def decode(fmt: str, data: bytes, most: int = MOST) -> dict | None:
     """The header and tags of a file's profile; None without profile and warnings."""
-    body, warnings = profile(fmt, data)
+    body, warnings = profile(fmt, data, most)
     if body is None:
         return {"present": False, "warnings": warnings} if warnings else None
     out: dict = {"present": True, "size_bytes": len(body), "warnings": warnings}

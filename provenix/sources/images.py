@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Iterator
-from datetime import UTC, datetime
 from fractions import Fraction
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from provenix.sources import icc, iptc, thumbnails, xmp
+from provenix.config import Limits
+from provenix.sources import icc, iptc, storage, thumbnails, xmp
 from provenix.sources.containers import dimensions, encoding
 from provenix.sources.magic import detect_format
 from provenix.sources.tiff import Directories, exif_payload
@@ -28,53 +26,22 @@ TEXTS = {
 NUMBERS = {"orientation": 0x0112, "iso": 0x8827, "flash": 0x9209}
 RATIOS = {"exposure_seconds": 0x829A, "f_number": 0x829D, "focal_length_mm": 0x920A}
 GPS_RATIOS = {"gps_altitude": 6, "gps_dop": 0xB, "gps_direction": 0xD}
-#: Bytes from a file's start in which metadata are looked for.
-REACH = 4 << 20
+scan, list_files = storage.scan, storage.list_files
+
+#: Bytes from a file's start in which metadata are looked for; bytes of contents that a batch brings to a worker, about.
+REACH, BATCH_BYTES = 4 << 20, 64 << 20
 
 XMP = "packet string, truncated boolean, namespaces array<string>, title string, creator array<string>, description string, rights string, subject array<string>, create_date string, modify_date string, creator_tool string, rating long, authors_position string, credit string, source string, date_created string, exif_in_xmp map<string,string>, properties map<string,string>, warnings array<string>"
 IPTC = ", ".join([*(f"{n} string" for n in iptc.ONE.values()), *(f"{n} array<string>" for n in iptc.MANY.values())]) + ", date_created string, time_created string, record_version long, raw array<struct<record long, dataset long, value string, hex string>>, warnings array<string>"
 ICC = "present boolean, size_bytes long, size_claimed long, preferred_cmm string, version string, device_class string, device_class_name string, color_space string, pcs string, created string, signature_valid boolean, platform string, device_manufacturer string, device_model string, rendering_intent long, rendering_intent_name string, creator string, tags array<struct<signature string, offset long, size long, readable boolean>>, tag_count long, warnings array<string>"
 THUMBNAIL = "index long, source string, byte_size long, sha256 string, width long, height long, format string, dqt long, dht boolean"
 SCHEMA = ", ".join([
-    "path string, sha256 string, size_bytes long, modified timestamp_ntz, status string, error string, format string, encoding string, width long, height long", *(f"{n} string" for n in TEXTS), *(f"{n} long" for n in NUMBERS),
+    "path string, sha256 string, sha512 string, size_bytes long, modified timestamp_ntz, mtime double, status string, error string, format string, encoding string, width long, height long", *(f"{n} string" for n in TEXTS), *(f"{n} long" for n in NUMBERS),
     *(f"{n} double" for n in (*RATIOS, *GPS_RATIOS)), "exposure_time string, flash_fired boolean, timezone_known boolean, lat double, lon double, gps_altitude_ref long, gps_direction_ref string, gps_date string, gps_time array<double>",
-    f"xmp struct<{XMP}>, iptc struct<{IPTC}>, icc struct<{ICC}>, thumbnails array<struct<{THUMBNAIL}>>, thumbnail_claimed boolean, main_dqt long, main_dht boolean, warnings array<string>",
+    f"xmp struct<{XMP}>, iptc struct<{IPTC}>, icc struct<{ICC}>, thumbnails array<struct<{THUMBNAIL}>>, thumbnail_claimed boolean, thumbnail_warnings array<string>, main_dqt long, main_dht boolean, warnings array<string>",
 ])
 
 
-def list_files(root: str, recursive: bool = False) -> list[str]:
-    """Regular files below a folder, sorted; links to folders are not followed, hidden names count."""
-    if not os.path.exists(root):
-        raise FileNotFoundError(root)
-    if not os.path.isdir(root):
-        raise NotADirectoryError(root)
-    if not recursive:
-        return sorted(e.path for e in os.scandir(root) if e.is_file())
-    return sorted(os.path.join(d, f) for d, _, files in os.walk(root) for f in files if os.path.isfile(os.path.join(d, f)))
-
-
-def scan(spark: SparkSession, root: str, recursive: bool = False, largest: int = 512 << 20) -> DataFrame:
-    """(path, content, modified) of a folder's files; contents are read by the tasks, one file a batch. Unreadable files and those over ``largest`` bytes have null content."""
-    schema = "path string, content binary, modified timestamp_ntz"
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path in batch.column(0).to_pylist():
-                row = {"path": path, "content": None, "modified": None}
-                try:
-                    about = os.stat(path)
-                    row["modified"] = datetime.fromtimestamp(about.st_mtime, UTC).replace(tzinfo=None)
-                    if about.st_size <= largest:
-                        row["content"] = Path(path).read_bytes()
-                except OSError:
-                    pass
-                yield pa.RecordBatch.from_pylist([row], schema=arrow)
-
-    paths = spark.createDataFrame([(p,) for p in list_files(root, recursive)], "path string")
-    return paths.repartition("path").mapInArrow(read, schema)
-
-
 def _ratio(value: object) -> Fraction | None:
     return Fraction(*value) if isinstance(value, tuple) and value[1] else None
 
@@ -97,8 +64,8 @@ def _degrees(value: object, ref: object, positive: str, negative: str) -> float
     return (-1 if side == negative else 1) * (abs(d) + m / 60 + s / 3600)
 
 
-def _exif(payload: bytes) -> dict:
-    found = Directories(payload)
+def _exif(payload: bytes, limits: Limits) -> dict:
+    found = Directories(payload, limits.exif_max_tags, limits.exif_max_value_bytes)
     tags, gps = found.tags, found.gps
     row: dict = {n: _text(tags.get(t)) for n, t in TEXTS.items()}
     row |= {n: tags[t] if isinstance(tags.get(t), int) else None for n, t in NUMBERS.items()}
@@ -112,51 +79,65 @@ def _exif(payload: bytes) -> dict:
     }
 
 
-def decode(fmt: str, content: bytes) -> dict:
+def decode(fmt: str, content: bytes, limits: Limits | None = None) -> dict:
     """One file's columns; whatever goes wrong is the row's error."""
+    limits = limits or Limits()
     data = content[:REACH]
+    header = data[: limits.identify_header_bytes]
     row: dict = {"status": "ok", "warnings": []}
     try:
-        row["width"], row["height"] = dimensions(fmt, data)
-        row["encoding"] = encoding(fmt, data)
+        row["width"], row["height"] = dimensions(fmt, header)
+        row["encoding"] = encoding(fmt, header)
         payload = exif_payload(fmt, data)
         if payload is not None:
-            row |= _exif(payload)
-        row |= {"xmp": xmp.decode(fmt, data), "iptc": iptc.decode(fmt, data), "icc": icc.decode(fmt, data)}
+            row |= _exif(payload, limits)
+        row |= {"xmp": xmp.decode(fmt, data, limits.xmp_max_packet_bytes), "iptc": iptc.decode(fmt, data), "icc": icc.decode(fmt, data, limits.icc_max_profile_bytes)}
         small = thumbnails.decode(fmt, data)
         if small:
-            row |= {"thumbnails": small["found"], "thumbnail_claimed": small["claimed"], "main_dqt": small["main_dqt"], "main_dht": small["main_dht"], "warnings": row["warnings"] + small["warnings"]}
+            row |= {"thumbnails": small["found"], "thumbnail_claimed": small["claimed"], "main_dqt": small["main_dqt"], "main_dht": small["main_dht"], "thumbnail_warnings": small["warnings"]}
     except Exception as e:  # one bad file is a row, not a failed job
         row |= {"status": "error", "error": f"{type(e).__name__}: {e}"}
     return row
 
 
 def _with_format(files: DataFrame) -> DataFrame:
+    """What a worker needs of each file: hashes and the format are found in the JVM, and only the first REACH bytes go on."""
     modified = F.col("modified") if "modified" in files.columns else F.lit(None)
+    modified = modified.cast("timestamp_ntz")
+    mtime = F.col("mtime") if "mtime" in files.columns else F.unix_micros(modified.cast("timestamp")) / 1e6
     known = F.coalesce(detect_format(F.col("content")), F.lit("UNKNOWN")).alias("format")
-    return files.select("path", "content", known, F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("size_bytes"), modified.cast("timestamp_ntz").alias("modified"))
+    return files.select(
+        "path", F.substring("content", 1, REACH).alias("content"), known, F.sha2("content", 256).alias("sha256"), F.sha2("content", 512).alias("sha512"), F.octet_length("content").cast("long").alias("size_bytes"), modified.alias("modified"),
+        mtime.alias("mtime"), (F.col("error") if "error" in files.columns else F.lit(None)).cast("string").alias("error"),
+    )
 
 
-def extract(files: DataFrame) -> DataFrame:
-    """Decoded rows of (path, content, and modified if there is one); unknown formats are skipped, unreadable files (null content) are errors.
+def extract(files: DataFrame, limits: Limits | None = None) -> DataFrame:
+    """Decoded rows of (path, content, and of modified, mtime and error what there is); unknown formats are skipped, files without content are errors.
 
-    Works on streams too. A batch's contents are held by one task at a time; ``spark.sql.execution.arrow.maxRecordsPerBatch`` bounds its rows.
+    Works on streams too. At most REACH bytes of a file reach a worker, in batches of about BATCH_BYTES.
     """
     schema = to_arrow_schema(StructType.fromDDL(SCHEMA))
+    limits = limits or Limits()
+    files.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def rows(batch: pa.RecordBatch) -> Iterator[dict]:
+        for path, content, fmt, sha256, sha512, size, modified, mtime, error in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            row = {"path": path, "format": fmt, "sha256": sha256, "sha512": sha512 if "sha512" in limits.hash_algorithms else None, "size_bytes": size, "modified": modified, "mtime": mtime, "warnings": []}
+            if content is None:
+                row |= {"status": "error", "error": error or "cannot be read"}
+            elif fmt == "UNKNOWN":
+                row |= {"status": "skipped", "error": "not a recognized image format (magic bytes)"}
+            elif limits.max_file_size_bytes and size > limits.max_file_size_bytes:
+                row |= {"status": "error", "error": storage.too_large(size, limits.max_file_size_bytes)}
+            else:
+                row |= decode(fmt, content, limits)
+            yield row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path, content, fmt, sha256, size, modified in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                row = {"path": path, "format": fmt, "sha256": sha256, "size_bytes": size, "modified": modified, "warnings": []}
-                if content is None:
-                    row |= {"status": "error", "error": "cannot be read"}
-                elif fmt == "UNKNOWN":
-                    row |= {"status": "skipped", "error": "not a recognized image format (magic bytes)"}
-                else:
-                    row |= decode(fmt, content)
-                rows.append(row)
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            for at in range(0, batch.num_rows, 64):
+                yield pa.RecordBatch.from_pylist(list(rows(batch.slice(at, 64))), schema=schema)
 
     return _with_format(files).mapInArrow(run, SCHEMA)
 
@@ -169,7 +150,7 @@ def thumbnail_files(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content, fmt in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                small = thumbnails.decode(fmt, content[:REACH]) if content is not None else None
+                small = thumbnails.decode(fmt, content) if content is not None else None
                 rows = [{k: v for k, v in t.items() if k in arrow.names} | {"path": path, "name": thumbnails.file_name(path, t["index"], t["format"])} for t in (small["found"] if small else [])]
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=arrow)
@@ -178,18 +159,12 @@ def thumbnail_files(files: DataFrame) -> DataFrame:
 
 
 def write_thumbnails(files: DataFrame, folder: str, force: bool = False) -> DataFrame:
-    """Writes thumbnails into a folder that all executors see: (path, name, written). Files that are there stay unless forced; a file appears whole or not at all. Nothing is written before an action, and a second action finds the files there."""
+    """Writes thumbnails into a folder that all executors see, a path or a URI: (path, name, written). Files that are there stay unless forced; a file appears whole or not at all. Nothing is written before an action, and a second action finds the files there."""
+    folder = storage.as_uri(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = []
-            for row in batch.to_pylist():
-                target = Path(folder) / row["name"]
-                done.append(force or not target.exists())
-                if done[-1]:
-                    part = target.with_name(f".{row['name']}.{uuid.uuid4().hex}")
-                    part.write_bytes(row["blob"])
-                    part.replace(target)
+            done = [storage.put(f"{folder}/{row['name']}", row["blob"], force) for row in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("name"), pa.array(done, pa.bool_())], names=["path", "name", "written"])
 
     return thumbnail_files(files).mapInArrow(run, "path string, name string, written boolean")

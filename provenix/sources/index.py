@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERSION = 1
+#: The columns of a record.
+RECORD = ("path", "filename", "sha256", "format", "device_make", "device_model", "device_display", "capture_day", "capture_day_display", "gps_lat", "gps_lon", "has_gps", "gps_valid", "timestamps", "thumbnail_count", "anomaly_rule_ids", "caption", "keywords", "software", "title")
 HINT = "build the index again"
 
 
@@ -26,10 +28,19 @@ class IndexVersion(IndexProblem):
     """The index was written with another version."""
 
 
-def write_index(records: DataFrame, path: str, root: str = "") -> None:
-    """Writes analyzed records (only those that are ok), clustered by day so that filters by date skip files. The head is written last: an index without one is unfinished."""
-    spark = records.sparkSession
-    records.where(F.col("status") == "ok").repartitionByRange("capture_day", "path").sortWithinPartitions("capture_day", "path").write.mode("overwrite").parquet(f"{path}/records")
+def records(analyzed: DataFrame) -> DataFrame:
+    """What search runs on: a record of RECORD's columns for each file that is ok. Absent texts are empty."""
+    text = lambda n: F.coalesce(F.col(n), F.lit("")).alias(n)
+    rows = analyzed.where(F.col("status") == "ok").withColumns({"gps_lat": F.col("lat"), "gps_lon": F.col("lon"), "gps_valid": F.col("has_gps") & F.col("gps_valid"), "software": F.coalesce("software_raw", F.lit(""))})
+    texts = {"device_make", "device_model", "caption", "title"}
+    return rows.select(*(text(n) if n in texts else F.col(n) for n in RECORD))
+
+
+def write_index(analyzed: DataFrame, path: str, root: str = "") -> None:
+    """Writes the records of analyzed files (or records), clustered by day so that filters by date skip files. The head is written last: an index without one is unfinished."""
+    spark = analyzed.sparkSession
+    rows = records(analyzed) if "status" in analyzed.columns else analyzed
+    rows.repartitionByRange("capture_day", "path").sortWithinPartitions("capture_day", "path").write.mode("overwrite").parquet(f"{path}/records")
     head = spark.range(1).select(F.lit(VERSION).alias("version"), F.lit(root).alias("root"), F.current_timestamp().alias("built_at"))
     head.coalesce(1).write.mode("overwrite").parquet(f"{path}/head")
 

@@ -25,8 +25,8 @@ def exif_payload(fmt: str, data: bytes) -> bytes | None:
 class Directories:
     """First directory, EXIF directory (the first one's tags win) and GPS directory of a TIFF structure."""
 
-    def __init__(self, data: bytes):
-        self.data, self.warnings = data, []
+    def __init__(self, data: bytes, max_tags: int = MAX_TAGS, max_value: int = MAX_VALUE):
+        self.data, self.warnings, self.max_tags, self.max_value = data, [], max_tags, max_value
         self.order = {b"II": "<", b"MM": ">"}.get(data[:2], "")
         self.tags: dict[int, object] = {}
         self.gps: dict[int, object] = {}
@@ -57,7 +57,7 @@ class Directories:
         first = struct.unpack(self.order + "I", self.data[4:8])[0]
         if first + 2 > len(self.data):
             return None
-        link = first + 2 + 12 * min(struct.unpack(self.order + "H", self.data[first : first + 2])[0], MAX_TAGS)
+        link = first + 2 + 12 * min(struct.unpack(self.order + "H", self.data[first : first + 2])[0], self.max_tags)
         at = struct.unpack(self.order + "I", self.data[link : link + 4])[0] if link + 4 <= len(self.data) else 0
         return self.read(at, "IFD1") if at else None
 
@@ -68,9 +68,9 @@ class Directories:
             return {}
         out: dict[int, object] = {}
         count = struct.unpack(self.order + "H", self.data[at : at + 2])[0]
-        if count > MAX_TAGS:
-            self.warnings.append(f"{name} has {count} tags; the first {MAX_TAGS} are read")
-        for i in range(min(count, MAX_TAGS)):
+        if count > self.max_tags:
+            self.warnings.append(f"{name} has {count} tags; the first {self.max_tags} are read")
+        for i in range(min(count, self.max_tags)):
             entry = self.data[at + 2 + 12 * i : at + 14 + 12 * i]
             if len(entry) < 12:
                 self.warnings.append(f"{name} is cut")
@@ -86,7 +86,7 @@ class Directories:
             self.warnings.append(f"{name} tag {tag:#06x}: type {kind} is not read")
             return None
         size, code = TYPES[kind][0] * n, TYPES[kind][1]
-        if size > MAX_VALUE or n > MAX_TAGS * 64:
+        if size > self.max_value or n > self.max_tags * 64:
             self.warnings.append(f"{name} tag {tag:#06x}: value too large")
             return None
         if size > 4:

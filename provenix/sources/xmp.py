@@ -112,17 +112,17 @@ def _rating(value: object) -> int | None:
     return n if abs(n) < 1 << 63 else None
 
 
-def decode(fmt: str, data: bytes) -> dict | None:
+def decode(fmt: str, data: bytes, most: int = MOST) -> dict | None:
     """The views of a file's packet; None without one. Lists and nested values of the maps are JSON."""
     found = packet(fmt, data)
     if found is None:
         return None
-    warnings = [f"XMP is longer than {MOST} bytes; cut"] if len(found) > MOST else []
-    raw = found[:MOST].decode("utf-8", "replace")
+    warnings = [f"XMP is longer than {most} bytes; cut"] if len(found) > most else []
+    raw = found[:most].decode("utf-8", "replace")
     known, more = properties(raw)
     dc, basic, ps = (known.get(ns, {}) for ns in (DC, BASIC, PHOTOSHOP))
     return {
-        "packet": raw, "truncated": len(found) > MOST, "namespaces": sorted(known),
+        "packet": raw, "truncated": len(found) > most, "namespaces": sorted(known),
         "title": _text(dc.get("title")), "creator": _texts(dc.get("creator")), "description": _text(dc.get("description")), "rights": _text(dc.get("rights")), "subject": _texts(dc.get("subject")),
         "create_date": _text(basic.get("CreateDate")), "modify_date": _text(basic.get("ModifyDate")), "creator_tool": _text(basic.get("CreatorTool")), "rating": _rating(basic.get("Rating")),
         "authors_position": _text(ps.get("AuthorsPosition")), "credit": _text(ps.get("Credit")), "source": _text(ps.get("Source")), "date_created": _text(ps.get("DateCreated")),
