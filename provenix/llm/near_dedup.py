@@ -10,18 +10,21 @@ documents share, like a licence text, has long lists, which come last and are ha
 
 Pairs are never expanded within a group that is known to be one. Equal sets are one representative
 first. Then each document is compared with the document that is the least one of most of its lists (a
-star), which joins groups of near copies. Lists that still hold several components are merged: their signatures are dealt into
-blocks of bounded size, two blocks meet in one task, and collisions are counted over the whole
-signature. The first merge returns no more pairs than join the components it sees (a forest); the
-second, over what is open after those are confirmed, returns every pair above the match threshold that
-is in different components. All links are confirmed on full sets.
+star), which joins groups of near copies. Lists that still hold several components are merged: their
+signatures are dealt into blocks of bounded size, two blocks meet in one task, and collisions are
+counted over the whole signature. Of long lists first no more pairs are returned than join the
+components that a task sees (a forest). What is open after those are confirmed is merged once more:
+short lists, of SHORT documents at most, return their pairs above the match threshold, and in long ones
+the documents that have such a partner meet again with their full sets, in a task that tests them
+itself and returns no more than one link for each document that it joins. All links are confirmed on
+full sets.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from math import comb
 
 import numpy as np
@@ -38,8 +41,8 @@ COORDINATES, SHINGLE = 64, 5
 MISS = 2e-7
 #: Words whose hashes a worker remembers; shingles hashed at a time.
 KEPT, CHUNK = 100_000, 2048
-#: Documents of a list that are one block: a task holds the signatures of two blocks (4 bytes a coordinate).
-BLOCK = 2048
+#: A list of more documents is long. Documents and shingles of a block, about: a task holds two blocks, their signatures (4 bytes a coordinate) or full sets (8 bytes a shingle).
+SHORT, BLOCK, SHINGLES = 32, 512, 1 << 20
 #: Places of documents whose sets are needed go to every executor up to so many (8 bytes each); beyond, texts are joined by shuffle.
 BROADCAST_PLACES = 1_000_000
 
@@ -231,10 +234,10 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
 
 def open_lists(lists: DataFrame, labels: DataFrame, hot: list) -> DataFrame:
-    """(token, id, label, size) of the lists that hold several components; ``hot`` are the tokens of very long lists."""
-    known = lists.select("id", "token").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    several = known.groupBy("token").agg(F.min("label").alias("_x"), F.max("label").alias("_y"), F.count("*").alias("size")).where("_x <> _y").select("token", "size")
-    return spread_join(known, several, "token", "id", hot).select("token", "id", "label", "size")
+    """(token, id, n, label, size, weight) of the lists that hold several components, with the documents and shingles of each list; ``hot`` are the tokens of very long lists."""
+    known = lists.select("id", "token", "n").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    several = known.groupBy("token").agg(F.min("label").alias("_x"), F.max("label").alias("_y"), F.count("*").alias("size"), F.sum("n").alias("weight")).where("_x <> _y").select("token", "size", "weight")
+    return spread_join(known, several, "token", "id", hot).select("token", "id", "n", "label", "size", "weight")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray | pa.Array]]:
@@ -264,72 +267,133 @@ def _agreeing(x: np.ndarray, y: np.ndarray, least: int) -> np.ndarray:
     return count >= least
 
 
+#: Columns of documents that two blocks bring to a task.
+MET = "token long, low int, high int, block int, id long, label long, n long, codes binary"
+
+
+class _Meeting:
+    """Two blocks of a list (or one) in a task: which documents of different components agree on enough coordinates."""
+
+    def __init__(self, rows: pa.RecordBatch, percent: int):
+        self.low, self.high = rows.column(1)[0].as_py(), rows.column(2)[0].as_py()
+        blocks, self.ids, self.labels, n = (rows.column(i).to_numpy() for i in range(3, 7))
+        codes = np.frombuffer(b"".join(rows.column(7).to_pylist()), np.uint32).reshape(len(self.ids), COORDINATES)
+        self.left = np.flatnonzero(blocks == self.low)
+        self.right = self.left if self.low == self.high else np.flatnonzero(blocks == self.high)
+        x, y = self.left[:, None], self.right[None, :]
+        near = _agreeing(codes[self.left], codes[self.right], least_matches(percent)) & (self.labels[x] != self.labels[y])
+        near &= 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+        self.near = np.triu(near) if self.low == self.high else near
+        self.parent = {x: x for x in self.labels.tolist()}
+
+    def root(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = x = self.parent[self.parent[x]]
+        return x
+
+    def join(self, i: int, j: int) -> bool:
+        """Whether two documents were in different components; they are in one now."""
+        x, y = self.root(int(self.labels[i])), self.root(int(self.labels[j]))
+        if x != y:
+            self.parent[max(x, y)] = min(x, y)
+        return x != y
+
+    def partners(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(document, documents near it), as places in the rows."""
+        for i in np.flatnonzero(self.near.any(axis=1)).tolist():
+            yield int(self.left[i]), self.right[self.near[i]]
+
+    def forest(self) -> list[tuple[int, int]]:
+        """No more pairs than join components, whether they are links or not."""
+        return [(i, int(others[k])) for i, others in self.partners() for k in np.unique(self.labels[others], return_index=True)[1].tolist() if self.join(i, int(others[k]))]
+
+    def pairs(self) -> list[tuple[int, int]]:
+        return [(i, j) for i, others in self.partners() for j in others.tolist()]
+
+    def links(self, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+        """No more links, tested on full sets, than join components."""
+        every, code = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.cumsum([len(x) for x in sets])
+        coded = np.split(code, ends[:-1])
+        mark, out = np.zeros(len(every), bool), []
+        for i, others in self.partners():
+            others = np.array([j for j in others.tolist() if self.root(int(self.labels[j])) != self.root(int(self.labels[i]))], np.int64)
+            if not len(others):
+                continue
+            mark[coded[i]] = True
+            size = np.array([len(coded[j]) for j in others], np.int64)
+            both = np.add.reduceat(mark[np.concatenate([coded[j] for j in others])].astype(np.int64), np.cumsum(size) - size)
+            mark[coded[i]] = False
+            linked = others[100 * both >= percent * (len(coded[i]) + size - both)]
+            out += [(i, j) for j in linked.tolist() if self.join(i, j)]
+        return out
+
+
 def _merge(percent: int, forest: bool):
-    """Pairs (a, b), a < b, of different components within two blocks (or one) that agree on enough coordinates; of a forest, only those that join components."""
-    least = least_matches(percent)
+    """Pairs (a, b), a < b, of the documents that meet: a forest, or all of them."""
 
-    def pairs(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        low, high = rows.column(1)[0].as_py(), rows.column(2)[0].as_py()
-        blocks, ids, labels, n = (rows.column(i).to_numpy() for i in range(3, 7))
-        codes = np.frombuffer(b"".join(rows.column(7).to_pylist()), np.uint32).reshape(len(ids), COORDINATES)
-        left = np.flatnonzero(blocks == low)
-        right = left if low == high else np.flatnonzero(blocks == high)
-        near = _agreeing(codes[left], codes[right], least) & (labels[left][:, None] != labels[right][None, :])
-        near &= 100 * np.minimum(n[left][:, None], n[right][None, :]) >= percent * np.maximum(n[left][:, None], n[right][None, :])
-        if low == high:
-            near = np.triu(near)
-        if not forest:
-            i, j = np.nonzero(near)
-            return ids[left[i]], ids[right[j]]
-        parent = {x: x for x in labels.tolist()}
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        a, b = [], []
-        for i in np.flatnonzero(near.any(axis=1)).tolist():
-            others = right[near[i]]
-            for label, first in zip(*np.unique(labels[others], return_index=True), strict=True):
-                x, y = root(int(labels[left[i]])), root(int(label))
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-                    a.append(ids[left[i]])
-                    b.append(ids[others[first]])
-        return np.array(a, np.int64), np.array(b, np.int64)
+    def made(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        pairs = np.sort(np.array(found, np.int64).reshape(-1, 2), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, size = [], 0
-        made = lambda: pa.RecordBatch.from_arrays([pa.array(f([x for x, _ in found], [y for _, y in found])) for f in (lambda x, y: np.minimum(np.concatenate(x), np.concatenate(y)), lambda x, y: np.maximum(np.concatenate(x), np.concatenate(y)))], names=["a", "b"])
+        found: list[tuple[int, int]] = []
         for rows in _groups(batches, 3):
-            pair = pairs(rows)
-            if len(pair[0]):
-                found.append(pair)
-                size += len(pair[0])
-            if size > 10_000:
-                yield made()
-                found, size = [], 0
+            met = _Meeting(rows, percent)
+            found += [(met.ids[i], met.ids[j]) for i, j in (met.forest() if forest else met.pairs())]
+            if len(found) > 10_000:
+                yield made(found)
+                found = []
         if found:
-            yield made()
+            yield made(found)
+
+    return run
+
+
+def _partnered(percent: int):
+    """Of the documents that meet those that have a partner."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, 3):
+            met = _Meeting(rows, percent)
+            some = np.union1d(met.left[met.near.any(axis=1)], met.right[met.near.any(axis=0)])
+            if len(some):
+                yield rows.take(pa.array(some))
 
     return run
 
 
-def candidates(opened: DataFrame, reps: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Pairs (a, b) of different components in open lists that agree on enough coordinates (see _merge)."""
+def _joined(percent: int):
+    """Links (a, b) that join components, of documents that meet with their full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, 3):
+            met = _Meeting(rows, percent)
+            links = met.links([np.frombuffer(v.as_buffer(), np.uint64) for v in rows.column(8)], percent)
+            if links:
+                pairs = np.sort(np.array([(met.ids[i], met.ids[j]) for i, j in links], np.int64), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return run
+
+
+def meetings(opened: DataFrame, reps: DataFrame) -> DataFrame:
+    """The documents of open lists (columns MET), each with every block that its own one meets."""
 
     def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:  # 32 bits of a token are enough to count with: agreeing by chance only makes a candidate
-            codes = tokens(_signatures(batch.column(2))).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in codes], pa.binary())], names=["id", "n", "codes"])
+            codes = tokens(_signatures(batch.column(1))).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in codes], pa.binary())], names=["id", "codes"])
 
-    codes = reps.join(opened.select("id").distinct(), "id", "left_semi").select("id", "n", "sig").mapInArrow(folded, "id long, n long, codes binary")
-    met = opened.join(codes, "id").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    codes = reps.join(opened.select("id").distinct(), "id", "left_semi").select("id", "sig").mapInArrow(folded, "id long, codes binary")
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("weight") / SHINGLES)).cast("int")
+    met = opened.join(codes, "id").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))  # a block meets every block of its list once
-    met = met.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "label", "n", "codes")
-    met = met.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
-    return met.mapInArrow(_merge(percent, forest), "a long, b long").distinct()
+    return dealt(met.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "label", "n", "codes"))
+
+
+def dealt(met: DataFrame) -> DataFrame:
+    return met.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
 
 
 def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -347,7 +411,7 @@ def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", te
     classes = rows.where("set_hash is not null").groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"), F.min("_at").alias("at"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("n_rows"))
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "dedup-classes")
     lists, long_lists = prefixes(classes, least)
-    lists = written(lists, "dedup-lists")
+    lists = written(lists.join(classes.select("id", "n"), "id"), "dedup-lists")
     active = written(classes.join(lists.select("id").distinct(), "id", "left_semi"), "dedup-active")
     full = written(sets(docs, active), "dedup-sets")
     # the star: each document against the least one of most of its lists
@@ -357,16 +421,22 @@ def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", te
     stars = written(matching(written(stars, "dedup-pairs"), active, percent), "dedup-stars")
     links = written(confirmed(stars, full, percent), "dedup-links")
     labels = components(links, "dedup-star")
-    # a forest of what the lists still hold apart, then all that is left
+    # a forest of what long lists still hold apart, then all that is left
     opened = written(open_lists(lists, labels, long_lists), "dedup-open")
-    forest = written(candidates(opened, active, percent, forest=True), "dedup-forest")
-    if forest.limit(1).count():  # without any, no two components can be linked
-        links = links.union(written(confirmed(written(forest.join(stars, ["a", "b"], "left_anti"), "dedup-tree"), full, percent), "dedup-links"))
+    forest = meetings(opened.where(F.col("size") > SHORT), active).mapInArrow(_merge(percent, True), "a long, b long").distinct()
+    forest = written(forest.join(stars, ["a", "b"], "left_anti"), "dedup-forest")
+    if forest.limit(1).count():
+        links = links.union(written(confirmed(forest, full, percent), "dedup-links"))
         labels = components(links, "dedup-tree")
-        rest = candidates(open_lists(opened, labels, long_lists), active, percent, forest=False)
-        rest = written(rest.join(stars.union(forest), ["a", "b"], "left_anti"), "dedup-rest")
-        if rest.limit(1).count():
-            labels = components(links.union(written(confirmed(rest, full, percent), "dedup-links")), "dedup-rest")
+        opened = written(open_lists(opened, labels, long_lists), "dedup-open")
+    short = meetings(opened.where(F.col("size") <= SHORT), active).mapInArrow(_merge(percent, False), "a long, b long").distinct()
+    short = written(short.join(stars.union(forest), ["a", "b"], "left_anti"), "dedup-short")
+    partnered = written(meetings(opened.where(F.col("size") > SHORT), active).mapInArrow(_partnered(percent), MET), "dedup-long")
+    rest = [written(confirmed(short, full, percent), "dedup-links")] if short.limit(1).count() else []
+    if partnered.limit(1).count():
+        rest.append(written(dealt(partnered.join(full, "id").select(*partnered.columns, "items")).mapInArrow(_joined(percent), "a long, b long").distinct(), "dedup-links"))
+    if rest:
+        labels = components(reduce(DataFrame.union, rest, links), "dedup-rest")
     # names of components, and back to the rows
     heads = classes.select("id", "set_hash", "doc_id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     names = heads.groupBy("label").agg(F.min("doc_id").alias("_component"))
