@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenix.functions import device, geo, text, time
@@ -185,8 +185,13 @@ _FLAG = "path, rule_id, severity, confidence, title, explanation, vals, sources,
 
 def _flags(column: str):
     """A row a flag, with its values as ``key=value`` and its sources, joined."""
-    values = F.array_join(F.transform(F.map_entries("f.values"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))), "|").alias("vals")
-    return lambda df: flagged(analyzed(df)).select("path", F.explode(column).alias("f")).select("path", "f.rule_id", "f.severity", "f.confidence", "f.title", "f.explanation", values, F.array_join("f.sources", "|").alias("sources"), "f.does_not_prove")
+
+    def rows(df: DataFrame) -> DataFrame:
+        values = F.array_join(F.transform(F.map_entries("f.values"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))), "|").alias("vals")
+        each = flagged(analyzed(df)).select("path", F.explode(column).alias("f"))
+        return each.select("path", "f.rule_id", "f.severity", "f.confidence", "f.title", "f.explanation", values, F.array_join("f.sources", "|").alias("sources"), "f.does_not_prove")
+
+    return rows
 
 
 for _name, _column, _rule in (
@@ -314,8 +319,13 @@ ev("cluster_components", _COMPONENTS + "SELECT y, x, label FROM l")(
     lambda df: search.cell_components(batch.ok(df).where("has_gps")).select("y", "x", ((c("label.y") + 100000) * 1000000 + c("label.x") + 100000).alias("label")))
 _POINTS = _COMPONENTS + ", p AS (SELECT l.label, g.* FROM g JOIN l ON floor(g.lat / 0.01)::BIGINT = l.y AND floor(g.lon / 0.01)::BIGINT = l.x WHERE g.status = 'ok' AND has_gps), ce AS (SELECT label, avg(lat) AS clat, avg(lon) AS clon FROM p GROUP BY label) "
 _AWAY = "2 * 6371.0 * asin(sqrt(least(pow(sin(radians(lat - clat) / 2), 2) + cos(radians(clat)) * cos(radians(lat)) * pow(sin(radians(lon - clon) / 2), 2), 1.0)))"
-_LABEL = ((c("label.y") + 100000) * 1000000 + c("label.x") + 100000).alias("label")
+
+
+def _label() -> Column:
+    return ((c("label.y") + 100000) * 1000000 + c("label.x") + 100000).alias("label")
+
+
 ev("cluster_locations", _POINTS + f"""SELECT label, round(any_value(clat), 6) AS center_lat, round(any_value(clon), 6) AS center_lon, round(max({_AWAY}), 4) AS radius_km, count(*) AS n, min(capture_day) AS first_day, max(capture_day) AS last_day
   FROM p JOIN ce USING (label) GROUP BY label""", ok_analyzed)(
-    lambda a: search.clusters(a.where("has_gps"))[0].select(_LABEL, F.round("center_lat", 6).alias("center_lat"), F.round("center_lon", 6).alias("center_lon"), F.round("radius_km", 4).alias("radius_km"), "n", "first_day", "last_day"))
-ev("cluster_members", _POINTS + "SELECT label, path FROM p", ok_analyzed)(lambda a: search.clusters(a.where("has_gps"))[1].select(_LABEL, "path"))
+    lambda a: search.clusters(a.where("has_gps"))[0].select(_label(), F.round("center_lat", 6).alias("center_lat"), F.round("center_lon", 6).alias("center_lon"), F.round("radius_km", 4).alias("radius_km"), "n", "first_day", "last_day"))
+ev("cluster_members", _POINTS + "SELECT label, path FROM p", ok_analyzed)(lambda a: search.clusters(a.where("has_gps"))[1].select(_label(), "path"))
