@@ -94,10 +94,10 @@ def flagged(a: DataFrame, tolerance_s: float = rules.TOLERANCE_S) -> DataFrame:
     first = rules.instants() | {"zone": rules.zone_claim()}
     then = {"widest": rules.widest_pair(), "zone_hours": rules.zone_hours(c("zone")), "located": c("has_gps") & c("gps_valid")}
     if "thumbs" not in a.columns:
-        first["compared"] = rules.compare_thumbnail(*(c(n) for n in ("thumb_width", "thumb_height", "width", "height", "thumb_dqt", "thumb_dht", "main_dqt", "main_dht")))
-        one = F.struct(F.lit(0).alias("index"), F.lit("EXIF IFD1 (JPEG blob)").alias("source"), c("thumb_width").alias("width"), c("thumb_height").alias("height"), c("sha256"), c("thumb_dqt").alias("dqt"), c("thumb_dht").alias("dht"), "compared.*")
-        then["thumbs"] = F.array_compact(F.array(F.when(c("thumb_width").isNotNull(), one)))
-    a = computed(computed(a, first).withColumns(rules.pairs()), then).drop(*rules.pairs(), *(n for n in first if n != "zone"))
+        compared = rules.compare_thumbnail(*(c(n) for n in ("thumb_width", "thumb_height", "width", "height", "thumb_dqt", "thumb_dht", "main_dqt", "main_dht")))
+        facts = {"index": F.lit(0), "source": F.lit("EXIF IFD1 (JPEG blob)"), "width": c("thumb_width"), "height": c("thumb_height"), "sha256": c("sha256"), "dqt": c("thumb_dqt"), "dht": c("thumb_dht")} | {n: compared[n] for n in ("larger", "aspect", "off", "scale", "encoder")}
+        first["thumbs"] = F.array_compact(F.array(F.when(c("thumb_width").isNotNull(), F.struct(*(x.alias(n) for n, x in facts.items())))))
+    a = computed(computed(a, first).withColumns(rules.pairs()), then).drop(*rules.pairs(), *rules.instants())
     a = a.withColumns({
         "f_time": rules.timestamp_conflict(c("widest"), tolerance_s), "f_zone": rules.gps_timezone(c("zone"), c("zone_hours"), c("located"), c("lon")), "f_device": rules.device_mismatch(),
         "f_serial": rules.serial_conflict(c("body_serial"), c("aux_serial")), "f_software": rules.software_chain(c("software_raw"), c("xmp_tool_raw")),

@@ -38,7 +38,12 @@ def hadoop(spark: SparkSession, uri: str) -> tuple:
 
 
 def write_file(spark: SparkSession, uri: str, data: bytes) -> None:
-    """A small file, written by the driver through Hadoop's file systems."""
+    """A small file, written by the driver: a local one itself, others through Hadoop's file systems."""
+    place = local(uri)
+    if place is not None:
+        os.makedirs(os.path.dirname(place), exist_ok=True)
+        Path(place).write_bytes(data)
+        return
     fs, path = hadoop(spark, uri)
     out = fs.create(path, True)
     try:
