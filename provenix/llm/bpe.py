@@ -25,13 +25,13 @@ from provenix.llm.memory import Memo, claim
 from provenix.llm.pieces import byte_chars, cutter
 
 #: Bounds of what a worker remembers.
-PIECES, PAIRS = 300_000, 300_000
+PIECES, PAIRS = 150_000, 150_000
 
 
 class PrefixCoder:
     def __init__(self, path: str):
         self.cut = cutter(path)
-        model = self.cut.spec["model"]
+        model = self.cut.read()["model"]
         byte_of = {c: b for b, c in byte_chars().items()}
         vocab = {bytes(byte_of[c] for c in s): i for s, i in model["vocab"].items()}
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])

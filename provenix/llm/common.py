@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch, whichever is reached first.
-BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 512, 2 << 20
 #: A key that holds over 1 / HOT_KEYS of the rows, and over HOT_ROWS, is hot: there are HOT_KEYS of them at most. Its rows are dealt to SALTS tasks.
 HOT_KEYS, HOT_ROWS, SALTS = 1000, 4096, 32
 

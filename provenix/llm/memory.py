@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+from contextlib import suppress
+
+import pyarrow as pa
 
 _held: list = []
 
@@ -14,6 +18,9 @@ def claim(owner: str, *forget) -> None:
             drop()
         _held[:] = [owner, *forget]
         gc.collect()
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # the C library's own call; where there is none, memory is kept
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 class Memo(dict):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import public_tokenizers
 import regex
@@ -32,16 +32,25 @@ class Cutter:
     """Special strings and pre-tokens of a tokenizer file, as the tokenizers library finds them."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            self.spec = json.load(f)
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
-        self.specials = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
+        self.path = path
+        self.specials = {t["content"]: t["id"] for t in self.read()["added_tokens"]}
         self._split = re.compile("|".join(f"({re.escape(s)})" for s in sorted(self.specials, key=len, reverse=True)))
         self._find = regex.compile(public_tokenizers.PATTERN).findall
         self._bytes = {c: b for b, c in byte_chars().items()}
 
+    def read(self) -> dict:
+        """The tokenizer file; what is needed of it is kept by those who ask."""
+        with open(self.path, encoding="utf-8") as f:
+            return json.load(f)
+
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        """The library's tokenizer, made where it is first asked for."""
+        out = Tokenizer.from_file(self.path)
+        out.no_padding()
+        out.no_truncation()
+        return out
+
     def pieces(self, text: str) -> list[str]:
         """Pre-tokens of a text without special strings."""
         if not _ODD.search(text):

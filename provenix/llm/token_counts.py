@@ -28,7 +28,7 @@ def whole_tokens(path: str) -> frozenset[str]:
     cut = cutter(path)
     byte_of = {c: b for b, c in byte_chars().items()}
     strings = []
-    for s in cut.spec["model"]["vocab"]:
+    for s in cut.read()["model"]["vocab"]:
         try:
             strings.append(bytes(byte_of[c] for c in s).decode())
         except UnicodeDecodeError:  # a part of a character is no pre-token

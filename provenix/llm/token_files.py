@@ -122,7 +122,7 @@ class LibraryEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.cut = cutter(path)
         self.known: dict[str, bytes] = {}
-        vocab = self.cut.spec["model"]["vocab"]
+        vocab = self.cut.read()["model"]["vocab"]
         self.lengths = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of each token: a character each in the byte-level alphabet
         for s, i in vocab.items():
             self.lengths[i] = len(s)
