@@ -325,7 +325,7 @@ def _label() -> Column:
     return ((c("label.y") + 100000) * 1000000 + c("label.x") + 100000).alias("label")
 
 
-ev("cluster_locations", _POINTS + f"""SELECT label, round(any_value(clat), 6) AS center_lat, round(any_value(clon), 6) AS center_lon, round(max({_AWAY}), 4) AS radius_km, count(*) AS n, min(capture_day) AS first_day, max(capture_day) AS last_day
+ev("cluster_locations", _POINTS + f"""SELECT label, round(any_value(clat), 10) AS center_lat, round(any_value(clon), 10) AS center_lon, round(max({_AWAY}), 4) AS radius_km, count(*) AS n, min(capture_day) AS first_day, max(capture_day) AS last_day
   FROM p JOIN ce USING (label) GROUP BY label""", ok_analyzed)(
-    lambda a: search.clusters(a.where("has_gps"))[0].select(_label(), F.round("center_lat", 6).alias("center_lat"), F.round("center_lon", 6).alias("center_lon"), F.round("radius_km", 4).alias("radius_km"), "n", "first_day", "last_day"))
+    lambda a: search.clusters(a.where("has_gps"))[0].select(_label(), F.round("center_lat", 10).alias("center_lat"), F.round("center_lon", 10).alias("center_lon"), F.round("radius_km", 4).alias("radius_km"), "n", "first_day", "last_day"))
 ev("cluster_members", _POINTS + "SELECT label, path FROM p", ok_analyzed)(lambda a: search.clusters(a.where("has_gps"))[1].select(_label(), "path"))
