@@ -15,8 +15,8 @@ signatures are dealt into blocks of bounded size, two blocks meet in one task, a
 counted over the whole signature. Of long lists first no more pairs are returned than join the
 components that a task sees (a forest). What is open after those are confirmed is merged once more:
 short lists, of SHORT documents at most, return their pairs above the match threshold, and in long ones
-the documents that have such a partner meet again with their full sets, in a task that tests them
-itself and returns no more than one link for each document that it joins. All links are confirmed on
+the documents that have such a partner meet again with their full sets, in parts of bounded size, in a
+task that tests them itself and returns no more than one link for each document that it joins. All links are confirmed on
 full sets.
 """
 
@@ -41,8 +41,9 @@ COORDINATES, SHINGLE = 64, 5
 MISS = 2e-7
 #: Words whose hashes a worker remembers; shingles hashed at a time.
 KEPT, CHUNK = 100_000, 2048
-#: A list of more documents is long. Documents and shingles of a block, about: a task holds two blocks, their signatures (4 bytes a coordinate) or full sets (8 bytes a shingle).
-SHORT, BLOCK, SHINGLES = 32, 512, 1 << 20
+#: A list of more documents is long. Documents of a block, about: a task holds the signatures (4 bytes a coordinate) of two blocks.
+#: Shingles of a part of a block, about: a task holds the full sets (8 bytes a shingle) of two parts. A block's number times PARTS is its first part's. Documents compared with a block at a time.
+SHORT, BLOCK, SHINGLES, PARTS, TILE = 32, 4096, 1 << 20, 1 << 20, 256
 #: Places of documents whose sets are needed go to every executor up to so many (8 bytes each); beyond, texts are joined by shuffle.
 BROADCAST_PLACES = 1_000_000
 
@@ -234,10 +235,10 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
 
 def open_lists(lists: DataFrame, labels: DataFrame, hot: list) -> DataFrame:
-    """(token, id, n, label, size, weight) of the lists that hold several components, with the documents and shingles of each list; ``hot`` are the tokens of very long lists."""
+    """(token, id, n, label, size) of the lists that hold several components, with the documents of each list; ``hot`` are the tokens of very long lists."""
     known = lists.select("id", "token", "n").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    several = known.groupBy("token").agg(F.min("label").alias("_x"), F.max("label").alias("_y"), F.count("*").alias("size"), F.sum("n").alias("weight")).where("_x <> _y").select("token", "size", "weight")
-    return spread_join(known, several, "token", "id", hot).select("token", "id", "n", "label", "size", "weight")
+    several = known.groupBy("token").agg(F.min("label").alias("_x"), F.max("label").alias("_y"), F.count("*").alias("size")).where("_x <> _y").select("token", "size")
+    return spread_join(known, several, "token", "id", hot).select("token", "id", "n", "label", "size")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray | pa.Array]]:
@@ -258,17 +259,17 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.nd
 
 
 def _agreeing(x: np.ndarray, y: np.ndarray, least: int) -> np.ndarray:
-    """Which rows of x and of y agree on at least so many columns."""
-    if len(x) * len(y) <= 4096:
-        return (x[:, None, :] == y[None, :, :]).sum(axis=2) >= least
-    count = np.zeros((len(x), len(y)), np.uint8)
-    for c in range(x.shape[1]):
-        count += x[:, c, None] == y[None, :, c]
+    """Which rows of x and columns of y (a row a coordinate) agree on at least so many coordinates."""
+    if len(x) * y.shape[1] <= 4096:
+        return (x[:, :, None] == y[None, :, :]).sum(axis=1) >= least
+    count = np.zeros((len(x), y.shape[1]), np.uint8)
+    for c in range(len(y)):
+        count += x[:, c, None] == y[None, c, :]
     return count >= least
 
 
 #: Columns of documents that two blocks bring to a task.
-MET = "token long, low int, high int, block int, id long, label long, n long, codes binary"
+MET = "token long, low long, high long, block long, id long, label long, n long, codes binary"
 
 
 class _Meeting:
@@ -280,10 +281,15 @@ class _Meeting:
         codes = np.frombuffer(b"".join(rows.column(7).to_pylist()), np.uint32).reshape(len(self.ids), COORDINATES)
         self.left = np.flatnonzero(blocks == self.low)
         self.right = self.left if self.low == self.high else np.flatnonzero(blocks == self.high)
-        x, y = self.left[:, None], self.right[None, :]
-        near = _agreeing(codes[self.left], codes[self.right], least_matches(percent)) & (self.labels[x] != self.labels[y])
-        near &= 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
-        self.near = np.triu(near) if self.low == self.high else near
+        self.near = np.zeros((len(self.left), len(self.right)), bool)
+        across = np.ascontiguousarray(codes[self.right].T)
+        for lo in range(0, len(self.left), TILE):
+            skip = lo if self.low == self.high else 0  # a block with itself: each two documents once
+            x, y = self.left[lo : lo + TILE, None], self.right[None, skip:]
+            near = _agreeing(codes[x[:, 0]], across[:, skip:], least_matches(percent)) & (self.labels[x] != self.labels[y])
+            near &= 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+            self.near[lo : lo + TILE, skip:] = np.triu(near) if self.low == self.high else near
+        self.shingles = n
         self.parent = {x: x for x in self.labels.tolist()}
 
     def root(self, x: int) -> int:
@@ -310,6 +316,18 @@ class _Meeting:
     def pairs(self) -> list[tuple[int, int]]:
         return [(i, j) for i, others in self.partners() for j in others.tolist()]
 
+    def parts(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Numbers of two parts of the blocks, each of a bounded number of shingles, and the places of their documents that have a partner in the other one."""
+        left, right = (np.cumsum(self.shingles[x]) // SHINGLES for x in (self.left, self.right))
+        number = np.unique(left, return_inverse=True)[1], np.unique(right, return_inverse=True)[1]
+        rows = np.flatnonzero(self.near.any(axis=1))
+        for p in np.unique(number[0][rows]).tolist():
+            mine = rows[number[0][rows] == p]
+            near = self.near[mine]
+            for q in np.unique(number[1][near.any(axis=0)]).tolist():
+                here = near & (number[1] == q)
+                yield p, q, self.left[mine[here.any(axis=1)]], self.right[here.any(axis=0)]
+
     def links(self, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         """No more links, tested on full sets, than join components."""
         every, code = np.unique(np.concatenate(sets), return_inverse=True)
@@ -351,14 +369,18 @@ def _merge(percent: int, forest: bool):
 
 
 def _partnered(percent: int):
-    """Of the documents that meet those that have a partner."""
+    """Of the documents that meet those that have a partner, dealt to meetings of parts of their blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, 3):
             met = _Meeting(rows, percent)
-            some = np.union1d(met.left[met.near.any(axis=1)], met.right[met.near.any(axis=0)])
-            if len(some):
-                yield rows.take(pa.array(some))
+            for p, q, left, right in met.parts():
+                low, high = met.low * PARTS + p, met.high * PARTS + q
+                places = np.concatenate([left, np.setdiff1d(right, left)])
+                block = np.where(np.isin(places, left), low, high)
+                taken = rows.take(pa.array(places))
+                same = lambda v: pa.array(np.full(len(places), v, np.int64))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([taken.column(0), same(low), same(high), pa.array(block), *taken.columns[4:]], names=taken.schema.names)
 
     return run
 
@@ -386,9 +408,9 @@ def meetings(opened: DataFrame, reps: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in codes], pa.binary())], names=["id", "codes"])
 
     codes = reps.join(opened.select("id").distinct(), "id", "left_semi").select("id", "sig").mapInArrow(folded, "id long, codes binary")
-    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("weight") / SHINGLES)).cast("int")
-    met = opened.join(codes, "id").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))  # a block meets every block of its list once
+    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
+    met = opened.join(codes, "id").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))  # a block meets every block of its list once
     return dealt(met.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "label", "n", "codes"))
 
 
