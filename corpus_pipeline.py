@@ -15,6 +15,8 @@ from provenix.llm import bpe, mixing, near_dedup, quality, secrets
 from provenix.llm.common import table, work_dir, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Decisions of near-dedup go to every executor up to so many (17 bytes each); beyond, texts are shuffled once to meet them.
+BROADCAST_ODD = 1_000_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,6 +35,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     docs = docs.select(*COLUMNS).withColumn("_hash", F.xxhash64(F.sha2("text", 256)))
     decided = near_dedup.near_duplicates(docs, 80, carry=("_hash",)).groupBy("doc_id", "_hash").agg(F.bool_and("kept").alias("_kept"), F.count("*").alias("_rows"))
     odd = written(decided.where("not _kept or _rows > 1").select(F.col("doc_id").alias("_odd"), F.col("_hash").alias("_odd_hash"), "_kept"), "dedup-odd")
+    odd = F.broadcast(odd) if odd.count() <= BROADCAST_ODD else odd
     same = F.col("doc_id").eqNullSafe(F.col("_odd")) & (F.col("_hash") == F.col("_odd_hash"))
     repeated = docs.join(odd.where("_kept"), same, "left_semi").groupBy("doc_id", "_hash").agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("_row")).select("doc_id", "_row.*")
     return docs.join(odd, same, "left_anti").select(*COLUMNS).unionByName(repeated.select(*COLUMNS))
